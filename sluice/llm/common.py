@@ -156,3 +156,28 @@ def words_in(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def row_of(counts_at: np.ndarray) -> np.ndarray:
     """The row of each item, from the offsets of the rows."""
     return np.repeat(np.arange(len(counts_at) - 1), np.diff(counts_at))
+
+
+_PLACES = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every shingle of ``k`` words; a row with fewer words, but any, has one of them all.
+
+    words: the words' hashes; offsets: of each row's words among them.
+    """
+    n, counts = len(words), np.diff(offsets)
+    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for m in range(1, k + 1):
+        if m < k and not (counts == m).any() or n < m:
+            continue
+        total = np.zeros(n - m + 1, np.uint64)
+        for j in range(m):
+            total += words[j : n - m + 1 + j] * _PLACES[j]
+        row = row_of(offsets)[: n - m + 1]
+        inside = np.arange(n - m + 1) + m <= offsets[1:][row]
+        if m < k:
+            inside &= counts[row] == m
+        hashes.append(mix64(total[inside] + np.uint64(m)))
+        rows.append(row[inside])
+    return np.concatenate(hashes), np.concatenate(rows)
