@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import common, decontamination
+from sluice.llm import common, decontamination, simhash
 from sluice.llm.compression_classifier import CompressionClassifier
 from sluice.llm.packing import pack
 
@@ -25,6 +25,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and its component within four bits."""
+    common.small_batches(spark)
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with each benchmark item of which it holds 0.8 of the shingles."""
     common.small_batches(spark)
@@ -44,6 +51,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
 }
