@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,13 +41,12 @@ from pyspark.sql import functions as F
 from sluice.llm import common
 from sluice.llm.components import components
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 LEAF = 64
 
 
 def fingerprint(text: bytes, k: int = 4) -> int:
-    words = _WORD.findall(text.translate(_LOWER))
+    words = text.translate(_LOWER).split()  # bytes split at the six separators
     if not words:
         return 0
     shingles = [b" ".join(s) for s in zip(*(words[i:] for i in range(k)), strict=False)] if len(words) >= k else [b" ".join(words)]
