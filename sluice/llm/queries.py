@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import common, decontamination, simhash
+from sluice.llm import common, decontamination, recompression, simhash
 from sluice.llm.compression_classifier import CompressionClassifier
 from sluice.llm.packing import pack
 
@@ -38,6 +38,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word windows that a smaller document has."""
+    common.small_batches(spark)
+    found = recompression.without_repeats(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A compression score for every document; predicted is 1 from a score of 0.3."""
     common.small_batches(spark)
@@ -53,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {
