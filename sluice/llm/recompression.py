@@ -112,22 +112,25 @@ def _long_rows(data: np.ndarray, offsets: np.ndarray, length: int):
     return _WORD.words(data, starts[keep], ends[keep]), np.r_[0, np.cumsum(np.diff(at)[rows])], rows
 
 
-def candidates(words: np.ndarray, at: np.ndarray, known: list[np.ndarray], length: int) -> np.ndarray:
-    """For every word, whether a window of which all names are in its row's ``known`` starts there."""
+def candidates(words: np.ndarray, at: np.ndarray, known: list[tuple[np.ndarray, np.ndarray]], length: int) -> list[np.ndarray]:
+    """For every word, whether a window of which all names are known for its row starts there; once for each of ``known``.
+
+    known: names and the rows they are known for.
+    """
     name, first, last = recompress(words, at)
     row = np.searchsorted(at, first, "right") - 1
     inside = (last <= at[row + 1]) & (last - first <= length)
-    name, first, last, row = name[inside], first[inside], last[inside], row[inside]
-    unshared = np.ones(len(name), bool)
-    edges = np.searchsorted(row, np.arange(len(at)))
-    for r, names in enumerate(known):
-        if len(names):
-            unshared[edges[r] : edges[r + 1]] = ~np.isin(name[edges[r] : edges[r + 1]], names)
-    first, last, row = first[unshared], last[unshared], row[unshared]
-    refused = np.zeros(len(words) + 1, np.int64)
-    np.add.at(refused, np.maximum(last - length, at[row]), 1)
-    np.add.at(refused, first + 1, -1)
-    return (np.cumsum(refused[:-1]) == 0) & (np.arange(len(words)) + length <= np.repeat(at[1:], np.diff(at)))
+    first, last, row = first[inside], last[inside], row[inside]
+    key = common.mix64(name[inside].view(np.uint64) + row.astype(np.uint64) * _A)
+    fits = np.arange(len(words)) + length <= np.repeat(at[1:], np.diff(at))
+    out = []
+    for names, rows in known:
+        unshared = ~np.isin(key, common.mix64(names.view(np.uint64) + rows.astype(np.uint64) * _A))
+        refused = np.zeros(len(words) + 1, np.int64)
+        refused += np.bincount(np.maximum(last - length, at[row])[unshared], minlength=len(refused))
+        refused -= np.bincount(first[unshared] + 1, minlength=len(refused))
+        out.append((np.cumsum(refused[:-1]) == 0) & fits)
+    return out
 
 
 def symbols_of(docs: DataFrame, length: int) -> DataFrame:
@@ -156,12 +159,14 @@ def _lists(column: pa.Array, rows: np.ndarray) -> list[np.ndarray]:
 def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for begin, data, offsets in common.text_chunks(batch.column(1)):
                 words, at, rows = _long_rows(data, offsets, length)
                 if not len(rows):
                     continue
-                later, earlier = (candidates(words, at, _lists(batch.column(i), begin + rows), length) for i in (2, 3))
+                known = [_lists(batch.column(i), begin + rows) for i in (2, 3)]
+                later, earlier = candidates(words, at, [(np.concatenate(k), np.repeat(np.arange(len(k)), [*map(len, k)])) for k in known], length)
                 p = np.flatnonzero(later | earlier)
                 row = np.searchsorted(at, p, "right") - 1
                 one, two = (h.ranges(words, p, p + length) for h in _WINDOWS)
@@ -224,7 +229,7 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     )
     windows = (
         docs.join(marks, "doc_id", "left")
-        .where("doc_id is not null and not coalesce(copy, false)")
+        .where("not coalesce(copy, false)")  # nothing that would be pushed below the join: the texts' exchange is used again
         .select("doc_id", "text", "later", "earlier")
         .mapInArrow(_windows(length), "one long, two int, doc_id long, pos int, later boolean")
     )
