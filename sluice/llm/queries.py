@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import common, decontamination, line_dedup, quality_rules, recompression, secret_scan, simhash
+from sluice.llm import common, decontamination, html_extraction, line_dedup, quality_rules, recompression, secret_scan, simhash
 from sluice.llm.compression_classifier import CompressionClassifier
 from sluice.llm.packing import pack
 
@@ -34,6 +34,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    common.small_batches(spark)
+    return html_extraction.extracted(common.table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of every document."""
     return quality_rules.judged(common.table(spark, sf_dir, "documents")).select(
@@ -81,6 +87,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secret_scan": op2_secret_scan,
+    "op3_html_extraction": op3_html_extraction,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
