@@ -65,7 +65,8 @@ def train(docs: DataFrame, *, sample_docs: int = 1000, sample_chars: int = 20_00
         .otherwise(encoded)
         .alias("text"),
     )
-    chosen = docs.where("text is not null").select("doc_id", F.substring("text", 1, sample_chars).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    ids = docs.where("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    chosen = docs.join(F.broadcast(ids), "doc_id").select(F.substring("text", 1, sample_chars).alias("text"))  # sample_docs ids at most
     plain = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     ordinary = chosen.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z][A-Za-z0-9_-]{2,}"), F.lit(0))).alias("text"))
     width = len(ALPHABET) + 1
