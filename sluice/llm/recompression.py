@@ -233,8 +233,11 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         .select("doc_id", "text", "later", "earlier")
         .mapInArrow(_windows(length), "one long, two int, doc_id long, pos int, later boolean")
     )
-    firsts = windows.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("one", "two", "lo")
-    hits = windows.where("later").join(firsts, ["one", "two"]).where("doc_id > lo").select("doc_id", F.col("pos").cast("long"), F.lit(False).alias("copy"))
+    firsts = windows.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    # The cast makes the sums cross the network on their own, so that a window which very many documents share can be
+    # split: a join that sits on top of an aggregation by the same keys can't be.
+    both = ["one", F.col("two").cast("long").alias("two")]
+    hits = windows.where("later").select("doc_id", "pos", *both).join(firsts.select("lo", *both), ["one", "two"]).where("doc_id > lo").select("doc_id", F.col("pos").cast("long"), F.lit(False).alias("copy"))
     hits = (
         hits.unionByName(copies.select("doc_id", none.alias("pos"), F.lit(True).alias("copy")))
         .groupBy("doc_id")
