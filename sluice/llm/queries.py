@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import common, decontamination, html_extraction, line_dedup, quality_rules, recompression, secret_scan, simhash
+from sluice.llm import common, decontamination, html_extraction, line_dedup, lm_scoring, quality_rules, recompression, secret_scan, simhash
 from sluice.llm.compression_classifier import CompressionClassifier
 from sluice.llm.packing import pack
 
@@ -73,6 +73,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base score and attention-model score."""
+    common.small_batches(spark)
+    held_out = common.crc32_of_id() % 7 == 2
+    found = lm_scoring.scored(common.table(spark, sf_dir, "documents"), ~held_out, tokenizer_path())
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A compression score for every document; predicted is 1 from a score of 0.3."""
     common.small_batches(spark)
@@ -93,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {
