@@ -73,6 +73,11 @@ class Tokenizer:
             return self.library.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
+    def array(self, text: str) -> np.ndarray:
+        if self.fast is None or any(s in text for s in self.special):
+            return np.array(self.ids(text), np.uint32)
+        return self.fast.encode_to_numpy(text, disallowed_special=())
+
 
 @functools.cache
 def tokenizer(path: str) -> Tokenizer:
@@ -197,7 +202,7 @@ def pack(
         packer, rows = Packer(size, open_windows, least_cut), _Rows(part << 32, part)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode.ids(text.as_py() or ""), end_id], "<u4")
+                ids = np.append(encode.array(text.as_py() or ""), np.uint32(end_id)).astype("<u4", copy=False)
                 for w in packer.add(doc, ids):
                     rows.add(w, False)
                 if rows.ids > 1 << 19:
