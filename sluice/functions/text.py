@@ -50,7 +50,7 @@ def literal(value: Any, dialect: str = "ansi") -> str:
 
 
 def watermark(value: str, dialect: str = "ansi") -> str:
-    """A watermark as a timestamp literal; anything but a timestamp's text is refused."""
+    """A watermark as a timestamp literal, in JDBC's own notation unless told otherwise; anything but a timestamp's text is refused."""
     if not WATERMARK.fullmatch(value):
         raise ValueError(f"refusing malformed watermark {value!r}")
-    return f"CAST('{value}' AS DATETIME2(7))" if dialect == "tsql" else f"TIMESTAMP '{value}'"
+    return f"CAST('{value}' AS DATETIME2(7))" if dialect == "tsql" else f"{{ts '{value}'}}"
