@@ -221,8 +221,11 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     # The complement is a key that the sums aren't partitioned by, so that they cross the network on their own and the
     # join can split a name that very many documents share; so it is with the windows below.
     mirrored = shared.select(F.bitwise_not("name").alias("mirror"), "lo", "hi")
-    marks = symbols.withColumn("mirror", F.bitwise_not("name")).join(mirrored, "mirror").select(
-        "doc_id", F.when(F.col("lo") < F.col("doc_id"), F.col("name")).alias("later"), F.when(F.col("hi") > F.col("doc_id"), F.col("name")).alias("earlier"), F.lit(False).alias("copy")
+    name = F.bitwise_not("mirror")
+    marks = (
+        symbols.select("doc_id", F.bitwise_not("name").alias("mirror"))
+        .join(mirrored, "mirror")
+        .select("doc_id", F.when(F.col("lo") < F.col("doc_id"), name).alias("later"), F.when(F.col("hi") > F.col("doc_id"), name).alias("earlier"), F.lit(False).alias("copy"))
     )
     none = F.lit(None).cast("long")
     marks = (
@@ -237,7 +240,7 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         .mapInArrow(_windows(length), "one long, two int, doc_id long, pos int, later boolean")
     )
     firsts = windows.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    both = ["one", F.col("two").cast("long").alias("two")]
+    both = [F.bitwise_not("one").alias("one"), "two"]
     hits = windows.where("later").select("doc_id", "pos", *both).join(firsts.select("lo", *both), ["one", "two"]).where("doc_id > lo").select("doc_id", F.col("pos").cast("long"), F.lit(False).alias("copy"))
     hits = (
         hits.unionByName(copies.select("doc_id", none.alias("pos"), F.lit(True).alias("copy")))
