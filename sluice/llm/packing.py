@@ -53,21 +53,31 @@ class Tokenizer:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer as Library
 
-        self.library = Library.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        vocabulary = spec["model"]["vocab"]
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.size = 1 + max([*vocabulary.values(), *(t["id"] for t in spec.get("added_tokens", []))])
+        self.space_first = np.zeros(self.size, bool)
+        self.space_first[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
         pre = spec.get("pre_tokenizer") or {}
         self.fast = None
         if spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and spec.get("normalizer") is None:
             # printable bytes stand for themselves, the others for the code points from 256 on
             plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
             byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
-            ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
+            ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in self.special}
             self.fast = tiktoken.Encoding("byte_level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def library(self):
+        """The tokenizers library's own, which few texts need."""
+        from tokenizers import Tokenizer as Library
+
+        return Library.from_file(self.path)
+
     def ids(self, text: str) -> list[int]:
         if self.fast is None or any(s in text for s in self.special):
             return self.library.encode(text, add_special_tokens=False).ids
