@@ -64,7 +64,8 @@ def boilerplate(docs: DataFrame, *, site: str = "source", min_sites: int = 10, m
     sure = (F.col("sites") >= min_sites * (1 + margin)) & (F.col("besides") >= 1 + margin)
     # The complement is a key that the sketches aren't partitioned by: the few lines near a threshold then cross the
     # network on their own, and the join can split a line that is on very many pages.
-    near = lines.withColumn("mirror", F.bitwise_not("key")).join(maybe.where(~sure).select(F.bitwise_not("key").alias("mirror")), "mirror", "left_semi").drop("mirror")
+    mirror = F.bitwise_not("key").alias("key")
+    near = lines.select("site", mirror, "beside").join(maybe.where(~sure).select(mirror), "key", "left_semi").select("site", mirror, "beside")
     # exact counts in two steps, so that a frequent line's sites and neighbours are summed up before they meet
     n_sites = near.where("site is not null").groupBy("key", "site").agg(F.lit(1)).groupBy("key").agg(F.count(F.lit(1)).alias("sites"))
     n_besides = near.groupBy("key", "beside").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("besides"), F.sum("n").alias("n"))
