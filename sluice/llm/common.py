@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +93,7 @@ class RollingHash:
 
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, CHUNK_BYTES + 1)
+            n = max(n, 2 * len(self.up), 1 << 16)
             with np.errstate(over="ignore"):
                 step = np.full(n, self.base, np.uint64)
                 step[0] = 1

@@ -2,10 +2,11 @@
 
 All of it are DataFrame functions.  The patterns give the base spans.  Beside
 them, every run of 20 or more characters of ``ALPHABET`` is scored by two
-first-order Markov models of its characters: one trained on random strings
+first-order Markov models of its characters, smoothed by the frequencies of
+single ones: one trained on random strings
 (digests written in hexadecimal, base 64 and base 32, made here and so known
 to be random), one on ordinary identifiers (the words of a sample of documents
-outside of any base span).  A run whose log-likelihood ratio exceeds
+outside of any base span, alone and joined as names in programs are).  A run whose log-likelihood ratio exceeds
 ``threshold`` adds a span of kind ``markov``, unless it overlaps a base span.
 
 The fit is bounded: ``sample_docs`` documents, the least by a hash of their
@@ -33,6 +34,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # as long a run as there is, so the same as dropp
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+WORD = r"(?<![A-Za-z0-9_-])[A-Za-z][A-Za-z_-]{2,23}(?![A-Za-z0-9_-])"
+BACK_OFF = 5  # how many pairs the single characters' frequencies count for
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 
 
@@ -68,15 +71,21 @@ def train(docs: DataFrame, *, sample_docs: int = 1000, sample_chars: int = 20_00
     ids = docs.where("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
     chosen = docs.join(F.broadcast(ids), "doc_id").select(F.substring("text", 1, sample_chars).alias("text"))  # sample_docs ids at most
     plain = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
-    ordinary = chosen.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z][A-Za-z0-9_-]{2,}"), F.lit(0))).alias("text"))
+    words = F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
+    joined = let(words, lambda w: F.flatten(F.transform(w, lambda x, i: F.array_compact(F.array(x, F.concat(x, F.lit("_"), F.get(w, i + 1)), F.concat(x, F.initcap(F.get(w, i + 1))))))))
+    ordinary = chosen.select(F.lit(0).alias("label"), F.explode(joined).alias("text"))
     width = len(ALPHABET) + 1
     counts = {(r["label"], r["pair"]): r["n"] for r in _pairs(random.union(ordinary)).collect()}  # 2 * width ** 2 rows at most
-    table = []
-    for a in range(width):
-        rows = [[counts.get((label, a * width + b), 0) + 0.5 for b in range(width)] for label in (0, 1)]
-        sums = [sum(r) for r in rows]
-        table += [math.log(rows[1][b] / sums[1]) - math.log(rows[0][b] / sums[0]) for b in range(width)]
-    return table
+    models = []
+    for label in (0, 1):
+        single = [0.5 + sum(counts.get((label, a * width + b), 0) for a in range(width)) for b in range(width)]
+        total = sum(single)
+        rows = []
+        for a in range(width):
+            own = [counts.get((label, a * width + b), 0) for b in range(width)]
+            rows += [math.log((n + BACK_OFF * single[b] / total) / (sum(own) + BACK_OFF)) for b, n in enumerate(own)]
+        models.append(rows)
+    return [r - o for o, r in zip(*models, strict=True)]
 
 
 def ratio(text: Column, table: list[float]) -> Column:
