@@ -101,7 +101,7 @@ def violated_sql(rule: Rule, as_of: datetime, dialect: str = "duckdb") -> str:
         return f"({c} IS NULL)"
     if rule.type == "foreign_key":
         table, column = rule.references
-        return f"({c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {q(table)} AS k WHERE k.{q(column)} = {c}))"
+        return f"({c} IS NOT NULL AND {c} NOT IN (SELECT k.{q(column)} FROM {q(table)} AS k WHERE k.{q(column)} IS NOT NULL))"
     if rule.type in ("range", "length"):
         value = c if rule.type == "range" else f"length(CAST({c} AS {string}))"
         holds = " AND ".join(f"{value} {sign} {text.number(p[k])}" for k, sign in (("min", ">="), ("max", "<=")) if k in p)
