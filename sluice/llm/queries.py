@@ -108,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op6_decontamination": decontamination.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op8_substring_dedup": recompression.ORACLE_SQL,
 }

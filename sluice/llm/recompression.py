@@ -248,3 +248,22 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         .agg(F.collect_set("pos").alias("starts"), F.max("copy").alias("copy"))
     )
     return docs.join(hits, "doc_id", "left").select("doc_id", "text", "starts", "copy").mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept string")
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)
+), m AS (
+  SELECT s, min(doc_id) AS lo FROM g GROUP BY s HAVING count(*) > 1
+), c AS (
+  SELECT DISTINCT g.doc_id, unnest(range(p, p + 50)) AS i FROM g JOIN m USING (s) WHERE lo < g.doc_id
+), x AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), k AS (
+  SELECT x.doc_id, count(c.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE c.i IS NULL), '') AS kept
+  FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY x.doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
