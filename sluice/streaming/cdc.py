@@ -78,7 +78,7 @@ def merge(spark: SparkSession, path: str, target: Target, typed: DataFrame, note
         else:
             # at most ``buckets`` values
             units = table.touched(base, [r[0] for r in last.select(_BUCKET).distinct().collect()])
-            old = table._frame(base, units=units)
+            old = table.frame(base, units=units)
         merged = changes.merged(old, last, target.keys).persist()
         try:
             counts = changes.counters(merged).first().asDict()

@@ -60,7 +60,7 @@ def merge_silver(spark: SparkSession, rows: DataFrame, spec: TableSpec, path: st
         return
     run.schema_changes = [str(c) for c in drift.changes(table.schema_types(), drift.types(rows)) if c.kind == "added"]
     units = table.touched(base, values if part and values and len(values) <= MOST_PARTITIONS else None)
-    target = table._frame(base, units=units)
+    target = table.frame(base, units=units)
     merged = upserted(target, rows, spec.primary_key, spec.watermark_column).persist()
     try:
         done = merged.agg(F.count_if(F.col("_action") == "inserted").alias("i"), F.count_if(F.col("_action") == "updated").alias("u")).first()

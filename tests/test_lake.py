@@ -44,7 +44,7 @@ def test_partitions_are_picked_from_the_log(spark, tmp_path):
         assert rows(t.read(partitions=[v]), "id", "p") == [(i, v)]
     base = t.snapshot()
     units = t.touched(base, ["é"])
-    new = upserted(t._frame(base, units=units), spark.createDataFrame([(4, "é"), (9, "é")], "id int, p string"), ["id"], "id")
+    new = upserted(t.frame(base, units=units), spark.createDataFrame([(4, "é"), (9, "é")], "id int, p string"), ["id"], "id")
     assert rows(new, "id", "_action") == [(4, "skipped"), (9, "inserted")]
     t.rewrite(base, units, new.drop("_action"))
     assert rows(t.read(), "id") == [(0,), (1,), (2,), (3,), (4,), (9,)]
