@@ -34,9 +34,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies."""
+    """The document of least id of each group of near copies: within 4 bits, or with 0.8 of their five-word shingles in common."""
     common.small_batches(spark)
-    copies = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+    copies = simhash.groups(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -162,8 +162,8 @@ def links(points: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFra
         "fingerprint",
         F.explode(F.array(*(F.struct(F.lit(i).alias("space"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks)))).alias("shard"),
     )
-    large = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("vantage")).where(F.col("n") > shard_rows)
-    held = keyed.join(large, "shard", "left")
+    large = common.staged(keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("vantage")).where(F.col("n") > shard_rows), "large")
+    held = _beside(keyed, large, "shard")
     # Ring by ring around the vantage point: a pair within the radius lies in one ring or in neighbours, each of which
     # is cut into parts again, and every two parts of such rings meet in a shard of bounded size.
     parts = F.ceil(F.col("n") * 2 / (3 * shard_rows)).cast("int")
@@ -173,34 +173,172 @@ def links(points: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFra
     pairs = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(first, first + 3 * parts - 1), lambda p: F.least(p, own).cast("long") * (1 << 24) + F.greatest(p, own))
     )
-    dealt = held.select("id", "fingerprint", "shard", F.explode(pairs).alias("pair"))
-    dealt = dealt.repartition("shard", "pair").sortWithinPartitions("shard", "pair", "fingerprint")
-    dealt = dealt.select(F.xxhash64("shard", "pair").alias("key"), "id", "fingerprint")
+    dealt = held.select("id", "fingerprint", F.explode(pairs).alias("pair"), "shard").select(F.xxhash64("shard", "pair").alias("key"), "id", "fingerprint")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = ids = points = None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                new = [np.asarray(batch.column(i)) for i in range(3)]
-                key, ids, points = new if key is None else [np.concatenate(x) for x in zip((key, ids, points), new, strict=True)]
-            if key is None or not len(key):
-                continue
-            edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            if batch is not None:
-                edges = edges[:-1]  # the last shard may go on
-            if len(edges) < 2:
-                continue
+        for edges, (ids, points) in _whole_shards(batches):
             us, vs, bits = [], [], points.view(np.uint64)
             for k in np.flatnonzero(np.diff(edges) > 1):
                 a, b = edges[k], edges[k + 1]
                 for i, j in forest(bits[a:b], radius):
                     us.append(ids[a + i])
                     vs.append(ids[a + j])
-            key, ids, points = key[edges[-1] :], ids[edges[-1] :], points[edges[-1] :]
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return dealt.mapInArrow(linked, "u long, v long")
+    return dealt.repartition("key").sortWithinPartitions("key", "fingerprint").mapInArrow(linked, "u long, v long")
+
+
+def _beside(keyed: DataFrame, large: DataFrame, key: str) -> DataFrame:
+    """``keyed`` with what ``large`` says of its key; broadcast up to a million keys, as a join by exchange beyond."""
+    return keyed.join(F.broadcast(large) if large.count() <= 1_000_000 else large, key, "left")
+
+
+def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Rows (key, others) in the order of keys -> (bounds of the shards, the other columns), each shard whole."""
+    held: list[np.ndarray] | None = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            new = [np.asarray(c) for c in batch.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if held is None or not len(held[0]):
+            continue
+        key = held[0]
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        if batch is not None:
+            edges = edges[:-1]  # the last shard may go on
+        if len(edges) > 1:
+            yield edges, [c[: edges[-1]] for c in held[1:]]
+            held = [c[edges[-1] :] for c in held]
+
+
+# ---------------------------------------------------------------- similar texts
+
+WIDE = 3
+_SALTS = common.mix64(np.arange(1, WIDE + 1, dtype=np.uint64))
+
+
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """Hashes of the distinct lower-cased shingles."""
+    words = text.translate(_LOWER).split()
+    shingles = {b" ".join(s) for s in zip(*(words[i:] for i in range(k)), strict=False)} if len(words) >= k else {b" ".join(words)} if words else set()
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
+
+
+def wide_fingerprint(text: bytes, k: int) -> list[int] | None:
+    """Three times 64 bits of SimHash over the distinct shingles; None without words."""
+    hashes = shingle_set(text, k)
+    if not len(hashes):
+        return None
+    out = []
+    for salt in _SALTS:
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 1 << 16):
+            bits = common.mix64(hashes[i : i + (1 << 16)] + salt).view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def spanning(points: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """A least spanning forest of the pairs that differ in ``most`` bits at most: near ones connect first."""
+    n = len(points)
+    best, by, left, links = np.full(n, 1 << 20), np.zeros(n, np.int64), np.ones(n, bool), []
+    at = 0
+    left[0] = False
+    for _ in range(n - 1):
+        out = np.flatnonzero(left)
+        distance = np.bitwise_count(points[out] ^ points[at]).sum(1, dtype=np.int64)
+        nearer = distance < best[out]
+        best[out[nearer]], by[out[nearer]] = distance[nearer], at
+        at = int(out[np.argmin(best[out])])
+        left[at] = False
+        if best[at] <= most:
+            links.append((int(by[at]), at))
+    return links
+
+
+def similar_links(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, recall: float = 0.95, shard_rows: int = 2048) -> DataFrame:
+    """(u, v): doc_ids that connect the texts whose sets of ``k``-word shingles have a Jaccard similarity of ``similarity``.
+
+    Wide fingerprints are dealt to shards by samples of their bits, as many
+    samples as find a pair at the very limit with probability ``recall`` (pairs
+    above it almost surely).  Pairs in reach of the limit are then verified by
+    the shingle sets themselves, of the documents concerned only.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).where("doc_id is not null and text is not null")
+
+    @F.arrow_udf("array<long>")
+    def wide(texts: pa.Array) -> pa.Array:
+        return pa.array([wide_fingerprint(t.as_py(), k) for t in texts], pa.list_(pa.int64()))
+
+    @F.arrow_udf("array<int>")
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_set(t.as_py(), k).view(np.int64) >> 32).astype(np.int32) for t in texts], pa.list_(pa.int32()))
+
+    words = [f"w{i}" for i in range(WIDE)]
+    prints = common.staged(docs.select("doc_id", wide("text").alias("w")).where("w is not null").select("doc_id", *(F.col("w")[i].alias(c) for i, c in enumerate(words))), "wide")
+    points = common.staged(prints.groupBy(*words).agg(F.min("doc_id").alias("id")), "wide-points")
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi  # how often a bit differs at the limit
+    bits = min(24, max(10, points.count().bit_length() - 2))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** bits))
+    most = int(64 * WIDE * apart + 3 * math.sqrt(64 * WIDE * apart * (1 - apart)))
+    rng = np.random.default_rng(7)
+    keys = []
+    for t in range(tables):
+        chosen = [0] * WIDE
+        for b in rng.choice(64 * WIDE, bits, replace=False).tolist():
+            chosen[b // 64] |= 1 << b % 64
+        keys.append(F.xxhash64(F.lit(t), *(F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(words, chosen, strict=True))))
+    keyed = points.select("id", *words, F.explode(F.array(*keys)).alias("key"))
+    large = common.staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows), "wide-large")
+    parts = F.ceil(F.col("n") * 2 / shard_rows).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts)
+    pairs = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
+        F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.least(p, own).cast("long") * (1 << 24) + F.greatest(p, own))
+    )
+    dealt = _beside(keyed, large, "key").select("key", "id", *words, F.explode(pairs).alias("pair")).select(F.xxhash64("key", "pair").alias("key"), "id", *words)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for edges, (ids, *columns) in _whole_shards(batches):
+            sizes, points = np.diff(edges), np.stack(columns, 1).view(np.uint64)
+            shard = np.repeat(np.arange(len(sizes)), sizes)
+            small = (sizes <= 16)[shard]
+            us, vs = [], []
+            for d in range(1, int(min(sizes.max(), 16))):  # all pairs of small shards, by how far apart they stand
+                i = np.flatnonzero(small[:-d] & (shard[:-d] == shard[d:]))
+                i = i[np.bitwise_count(points[i] ^ points[i + d]).sum(1, dtype=np.int64) <= most]
+                us.append(ids[i])
+                vs.append(ids[i + d])
+            for s in np.flatnonzero(sizes > 16):
+                a, b = edges[s], edges[s + 1]
+                links = np.array(spanning(points[a:b], most), np.int64).reshape(-1, 2)
+                us.append(ids[a + links[:, 0]])
+                vs.append(ids[a + links[:, 1]])
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                u, v = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    maybe = common.staged(dealt.repartition("key").sortWithinPartitions("key", "id").mapInArrow(near, "u long, v long").where("u <> v").distinct(), "maybe")
+    ends = maybe.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    of = docs.join(ends, "doc_id", "left_semi").select("doc_id", sets("text").alias("s"))
+    both = maybe.join(of.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u").join(of.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    verified = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    same = prints.join(points, words).where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    return verified.unionByName(same)
+
+
+def groups(docs: DataFrame, *, k: int = 4, radius: int = 4, similar_k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of the documents that have near copies.
+
+    Copies are documents whose fingerprints link, as in ``near_duplicates``, and
+    those whose shingle sets are similar, as in ``similar_links``.
+    """
+    found = near_duplicates(docs, k=k, radius=radius).where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    links = found.unionByName(similar_links(docs, k=similar_k, similarity=similarity))
+    return components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 4, radius: int = 4) -> DataFrame:

@@ -286,6 +286,38 @@ def test_every_close_pair_shares_a_subspace(rows):
         assert any(x & m == y & m for m in masks)
 
 
+def test_spanning_forest_connects_what_is_near():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (1, 3), dtype=np.uint64)
+    points = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 63, (60, 3), dtype=np.uint64)), rng.integers(0, 1 << 63, (30, 3), dtype=np.uint64), base, base])
+    near = [(i, j) for i, j in itertools.combinations(range(len(points)), 2) if np.bitwise_count(points[i] ^ points[j]).sum() <= 6]
+    links = simhash.spanning(points, 6)
+    assert components_by_pairs(range(len(points)), links) == components_by_pairs(range(len(points)), near)
+    assert len(links) < len(points) and all(p in near for p in map(tuple, map(sorted, links)))
+
+
+@pytest.mark.parametrize("shard_rows", [20, 2048])
+def test_similar_texts(spark, shard_rows):
+    rng = random.Random(12)
+    texts = [None, "", "one two", "One TWO", *corpus(5)]
+    for _ in range(12):
+        words = prose(rng, 200).split(" ")
+        for changes in (0, 1, 2, 3, 4, 30):
+            own = list(words)
+            for p in rng.sample(range(200), changes):
+                own[p] = f"changed{rng.random()}"
+            texts.append(" ".join(own))
+    sets = [{*simhash.shingle_set((t or "").encode(), 5).tolist()} for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    found = [(r["u"], r["v"]) for r in simhash.similar_links(documents(spark, texts), shard_rows=shard_rows).collect()]
+    assert all(tuple(sorted(p)) in pairs for p in found)
+    expected, got = (components_by_pairs(range(len(texts)), p) for p in (pairs, found))
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.97 * len(pairs) and all(expected[i] == expected[j] for i, j in found)
+    assert simhash.similar_links(documents(spark, [None, ""])).collect() == []
+    grouped = {r["doc_id"]: r["component_id"] for r in simhash.groups(documents(spark, texts)).collect()}
+    assert grouped[3] == 2 and grouped[1] == 0 and simhash.groups(documents(spark, [])).collect() == []
+
+
 def test_components(spark):
     rng = random.Random(0)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 260)] + [(5, 5), (None, 3)]

@@ -72,6 +72,7 @@ def test_pipeline_stage_by_stage(spark):
         elif name == "near_dedup":
             prints = {r["doc_id"]: simhash.fingerprint((r["text"] or "").encode()) for r in before.collect()}
             order, parent = sorted(prints), {i: i for i in prints}
+            sets = {r["doc_id"]: {*simhash.shingle_set((r["text"] or "").encode(), 5).tolist()} for r in before.collect()}
 
             def root(n):
                 while parent[n] != n:
@@ -80,7 +81,7 @@ def test_pipeline_stage_by_stage(spark):
 
             for i, a in enumerate(order):
                 for b in order[i + 1 :]:
-                    if ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 4:
+                    if ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 4 or sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                         x, y = sorted((root(a), root(b)))
                         parent[y] = x
             assert ids(docs) == {i for i in order if root(i) == i}
