@@ -317,7 +317,7 @@ def silver_merge_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = rows.where("(order_id % 10 = 0 OR order_id % 7 = 0) AND month LIKE '%-05'").withColumns({"amount": (F.col("amount") + 1).cast("decimal(12,2)"), "modified_at": newer, "changed": F.lit(True)})
     base = table.snapshot()
     units = table.touched(base, [r[0] for r in batch.select("month").distinct().limit(1000).collect()])
-    table.rewrite(base, units, changes.upserted(table.frame(base, units=units), batch, ["order_id"], "modified_at").drop("_action"))
+    table.rewrite(base, units, changes.upserted(table.frame(base, units=units), batch, ["order_id"], "modified_at"), counts=changes.action_counts(), leave_out=["_action"])
     cents = F.sum((F.col("amount") * 100).cast("long")).alias("cents")
     return table.read().groupBy("month").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("changed").alias("changed"), cents)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators.latest import latest
@@ -65,10 +65,14 @@ def visible(table: DataFrame) -> DataFrame:
     return table.where(~F.coalesce(F.col(DELETED), F.lit(False))).drop(DELETED)
 
 
+def action_counts() -> dict[str, Column]:
+    """The counters of a merge as aggregates of ``_action``."""
+    return {c: F.count(F.when(F.col("_action") == c, 1)) for c in COUNTERS}
+
+
 def counters(actions: DataFrame) -> DataFrame:
     """inserted, updated, deleted, skipped, changed of a merge."""
-    counts = [F.count(F.when(F.col("_action") == c, 1)).alias(c) for c in COUNTERS]
-    return actions.agg(*counts).withColumn("changed", F.col("inserted") + F.col("updated") + F.col("deleted"))
+    return actions.agg(*(c.alias(k) for k, c in action_counts().items())).withColumn("changed", F.col("inserted") + F.col("updated") + F.col("deleted"))
 
 
 def upserted(target: DataFrame, rows: DataFrame, keys: Sequence[str], watermark: str) -> DataFrame:

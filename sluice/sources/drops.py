@@ -7,6 +7,7 @@ is there already is skipped: that is what makes a replay write nothing.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -37,13 +38,24 @@ class Drops:
         seen = Observation()
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(draft)
         rows = seen.get["rows"]
-        return rows if self.files.move(draft, target) else None
+        if not self.files.move(draft, target):
+            return None
+        self.files.publish(f"{self.path}/_schemas/{number}.json", self.schema().json())
+        return rows
 
     def schema(self) -> T.StructType | None:
-        """The columns of all deliveries, in the order of their first one."""
+        """The columns of all deliveries, in the order in which they came.
+
+        Each delivery leaves the schema so far beside the layer; only one whose
+        writer was stopped right before that has to be looked at.
+        """
+        there = self.numbers()
+        told = [int(n[:-5]) for n in self.files.names(f"{self.path}/_schemas") if n[:-5].isdigit()]
+        known = [T.StructType.fromJson(json.loads(self.files.read(f"{self.path}/_schemas/{max(told)}.json")))] if told else []
+        untold = [self.spark.read.parquet(f"{self.path}/{self.key}={n}").schema for n in there if n not in set(told)]
         fields: dict[str, T.StructField] = {}
-        for n in self.numbers():
-            for f in self.spark.read.parquet(f"{self.path}/{self.key}={n}").schema.fields:
+        for schema in [*known, *untold]:
+            for f in schema.fields:
                 fields.setdefault(f.name, T.StructField(f.name, f.dataType, True))
         return T.StructType([*fields.values()]) if fields else None
 

@@ -79,19 +79,13 @@ def merge(spark: SparkSession, path: str, target: Target, typed: DataFrame, note
             # at most ``buckets`` values
             units = table.touched(base, [r[0] for r in last.select(_BUCKET).distinct().collect()])
             old = table.frame(base, units=units)
-        merged = changes.merged(old, last, target.keys).persist()
-        try:
-            counts = changes.counters(merged).first().asDict()
-            if base.schema is None or counts["changed"] or counts["skipped"]:
-                rows = merged.drop("_action")
-                if base.schema is None:
-                    base.partition_by = _BUCKET
-                table.rewrite(base, units, rows, note=note, metrics=lambda: {k: counts[k] for k in changes.COUNTERS})
-        finally:
-            merged.unpersist()
+        if base.schema is None:
+            base.partition_by = _BUCKET
+        # Skipped changes may carry newer positions of deleted keys, so they are worth a version, too.
+        counts = table.rewrite(base, units, changes.merged(old, last, target.keys), note=note, counts=changes.action_counts(), leave_out=["_action"])
     finally:
         last.unpersist()
-    return counts
+    return {k: counts[k] for k in changes.COUNTERS}
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:

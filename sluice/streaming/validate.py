@@ -19,7 +19,7 @@ from sluice.audit import FAILED, NO_DATA, SUCCEEDED, StageRun, now
 from sluice.extract import finish
 from sluice.layout import Settings, application
 from sluice.operators import quality
-from sluice.operators.changes import upserted
+from sluice.operators.changes import action_counts, upserted
 from sluice.operators.latest import latest
 from sluice.plans import drift
 from sluice.plans.spec import Pipeline, TableSpec
@@ -61,15 +61,11 @@ def merge_silver(spark: SparkSession, rows: DataFrame, spec: TableSpec, path: st
     run.schema_changes = [str(c) for c in drift.changes(table.schema_types(), drift.types(rows)) if c.kind == "added"]
     units = table.touched(base, values if part and values and len(values) <= MOST_PARTITIONS else None)
     target = table.frame(base, units=units)
-    merged = upserted(target, rows, spec.primary_key, spec.watermark_column).persist()
-    try:
-        done = merged.agg(F.count_if(F.col("_action") == "inserted").alias("i"), F.count_if(F.col("_action") == "updated").alias("u")).first()
-        if done["i"] + done["u"]:
-            table.rewrite(base, units, merged.drop("_action"), note=note, metrics=lambda: {"inserted": done["i"], "updated": done["u"]})
-            run.rows_written, run.files_rewritten = done["i"] + done["u"], len(units)
-            run.note = f"merge +{done['i']} ~{done['u']}, {len(units)} unit(s) rewritten in {len(run.partitions_touched) or 'all'} partition(s)"
-    finally:
-        merged.unpersist()
+    merged = upserted(target, rows, spec.primary_key, spec.watermark_column)
+    done = table.rewrite(base, units, merged, note=note, counts=action_counts(), leave_out=["_action"], worth=lambda m: m["inserted"] + m["updated"] > 0)
+    if done["inserted"] + done["updated"]:
+        run.rows_written, run.files_rewritten = done["inserted"] + done["updated"], len(units)
+        run.note = f"merge +{done['inserted']} ~{done['updated']}, {len(units)} unit(s) rewritten in {len(run.partitions_touched) or 'all'} partition(s)"
     run.table_version = table.version
 
 
@@ -112,8 +108,11 @@ def process(
         quality.gate(spec, run.rows_read, run.rows_quarantined, threshold)
         silver = lake.silver(pipeline, spec.name)
         if run.rows_read > run.rows_quarantined:
-            valid = latest(rows.where(~quality.has_errors()), spec.primary_key, [spec.watermark_column, "_extract_seq"])
-            merge_silver(spark, valid.select(*business, *drift.SILVER), spec, silver, run)
+            valid = latest(rows.where(~quality.has_errors()), spec.primary_key, [spec.watermark_column, "_extract_seq"]).select(*business, *drift.SILVER).persist()
+            try:
+                merge_silver(spark, valid, spec, silver, run)
+            finally:
+                valid.unpersist()
         else:
             run.table_version = Table(spark, silver).version
         crash("silver merged")
