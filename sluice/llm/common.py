@@ -48,10 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    Row groups are small, so that a writer holds little of them in memory.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(16 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
