@@ -280,7 +280,9 @@ def similar_links(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, recal
     prints = common.staged(docs.select("doc_id", wide("text").alias("w")).where("w is not null").select("doc_id", *(F.col("w")[i].alias(c) for i, c in enumerate(words))), "wide")
     points = common.staged(prints.groupBy(*words).agg(F.min("doc_id").alias("id")), "wide-points")
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi  # how often a bit differs at the limit
-    bits = min(24, max(10, points.count().bit_length() - 2))
+    # So few steps that the number of samples, and with it what crosses the network, doesn't creep up with the table.
+    n = points.count()
+    bits = 16 if n < 1 << 24 else 20 if n < 1 << 28 else 24
     tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** bits))
     most = int(64 * WIDE * apart + 3 * math.sqrt(64 * WIDE * apart * (1 - apart)))
     rng = np.random.default_rng(7)
