@@ -376,7 +376,7 @@ def cdc_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _batches(spark: SparkSession, sf_dir: str, order: list[int]) -> DataFrame:
-    """Batches of ten by offset, folded in the given order."""
+    """Four batches by offset, folded in the given order."""
     log, table = _changes(spark, sf_dir), None
     top = F.broadcast(log.agg(F.max("_cdc_offset").alias("top")))  # one row
     numbered = log.join(top).withColumn("b", F.floor(F.col("_cdc_offset") * 4 / (F.col("top") + 1))).drop("top")
