@@ -157,10 +157,10 @@ def links(points: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFra
     points: id, fingerprint; one row for each fingerprint.
     """
     masks = subspaces(points.count(), radius)
-    keyed = points.select(
-        "id",
-        "fingerprint",
-        F.explode(F.array(*(F.struct(F.lit(i).alias("space"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks)))).alias("shard"),
+    # The masks are a constant list rather than an expression each, which keeps the generated code small.
+    spaces = F.array(*(F.struct(F.lit(i).alias("space"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)))
+    keyed = points.select("id", "fingerprint", F.explode(spaces).alias("s")).select(
+        "id", "fingerprint", F.struct("s.space", F.col("fingerprint").bitwiseAND(F.col("s.mask")).alias("value")).alias("shard")
     )
     large = common.staged(keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("vantage")).where(F.col("n") > shard_rows), "large")
     held = _beside(keyed, large, "shard")
@@ -286,13 +286,14 @@ def similar_links(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, recal
     tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** bits))
     most = int(64 * WIDE * apart + 3 * math.sqrt(64 * WIDE * apart * (1 - apart)))
     rng = np.random.default_rng(7)
-    keys = []
+    samples = []
     for t in range(tables):
         chosen = [0] * WIDE
         for b in rng.choice(64 * WIDE, bits, replace=False).tolist():
             chosen[b // 64] |= 1 << b % 64
-        keys.append(F.xxhash64(F.lit(t), *(F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(words, chosen, strict=True))))
-    keyed = points.select("id", *words, F.explode(F.array(*keys)).alias("key"))
+        samples.append(F.struct(F.lit(t).alias("t"), *(F.lit(_signed(m)).alias(c) for c, m in zip(words, chosen, strict=True))))
+    key = F.xxhash64("s.t", *(F.col(c).bitwiseAND(F.col(f"s.{c}")) for c in words))
+    keyed = points.select("id", *words, F.explode(F.array(*samples)).alias("s")).select("id", *words, key.alias("key"))
     large = common.staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows), "wide-large")
     parts = F.ceil(F.col("n") * 2 / shard_rows).cast("int")
     own = F.pmod(F.xxhash64("id"), parts)
