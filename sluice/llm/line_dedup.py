@@ -2,11 +2,12 @@
 
 A line's site spread is estimated by HyperLogLog sketches, one for each hash
 of a line, which merge by aggregation.  A line on ``min_sites`` sites or more
-is boilerplate, if it also stands beside many different lines: at least half as
-many as it has occurrences.  Copies of a document put its lines on many sites,
-too, but always beside the same ones, and must not lose their text here.  Lines
-whose estimates lie near a threshold get exact distinct counts, so the result
-is that of exact counting as long as no sketch errs by ``margin``.
+is boilerplate, if it is also in ``min_sites`` different texts or more.  Copies
+of a document put its lines on many sites, too, but are one text, and must not
+lose it here; how often a text is copied, and what stands beside a line, makes
+no difference.  Lines whose estimates lie near the threshold get exact distinct
+counts, so the result is that of exact counting as long as no sketch errs by
+``margin``.
 
 Lines are compared without leading and trailing spaces; those shorter than
 ``min_chars`` are left alone.  All occurrences of boilerplate go.  A line on
@@ -34,42 +35,26 @@ def _key(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, site: str, min_chars: int) -> DataFrame:
-    """doc_id, site, key, beside: of every line that can be boilerplate; beside: the key of the next line or else the last."""
-    per_line = let(
-        F.split("text", "\n", -1),
-        lambda ls: let(
-            F.transform(ls, _key),
-            lambda ks: F.filter(
-                F.transform(
-                    ls,
-                    lambda x, i: F.struct(
-                        F.get(ks, i).alias("key"), F.coalesce(F.get(ks, i + 1), F.get(ks, i - 1), F.lit(0).cast("long")).alias("beside"), (F.length(F.trim(x)) >= min_chars).alias("long")
-                    ),
-                ),
-                lambda s: s["long"],
-            ),
-        ),
-    )
-    return docs.where("text is not null").select("doc_id", F.col(site).alias("site"), F.explode(per_line).alias("l")).select("doc_id", "site", "l.key", "l.beside")
+    """doc_id, site, key, whole: of every line that can be boilerplate; whole: the hash of the text that it is in."""
+    per_line = F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)) >= min_chars), _key)
+    return docs.where("text is not null").select("doc_id", F.col(site).alias("site"), F.xxhash64("text").alias("whole"), F.explode(per_line).alias("key")).select("doc_id", "site", "key", "whole")
 
 
 def boilerplate(docs: DataFrame, *, site: str = "source", min_sites: int = 10, min_chars: int = 20, margin: float = 0.2) -> DataFrame:
     """(key): hashes of the boilerplate lines."""
     lines = _lines(docs, site, min_chars)
-    sketched = lines.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sites"), F.hll_sketch_agg("beside", F.lit(LOG_K)).alias("besides"), F.count(F.lit(1)).alias("n"))
-    spread = sketched.where(F.col("n") >= min_sites).select(
-        "key", F.hll_sketch_estimate("sites").alias("sites"), (F.hll_sketch_estimate("besides") * 2 / F.col("n")).alias("besides")
-    )
-    maybe = spread.where((F.col("sites") >= min_sites * (1 - margin)) & (F.col("besides") >= 1 - margin))
-    sure = (F.col("sites") >= min_sites * (1 + margin)) & (F.col("besides") >= 1 + margin)
+    sketched = lines.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sites"), F.hll_sketch_agg("whole", F.lit(LOG_K)).alias("wholes"), F.count(F.lit(1)).alias("n"))
+    spread = sketched.where(F.col("n") >= min_sites).select("key", F.least(F.hll_sketch_estimate("sites"), F.hll_sketch_estimate("wholes")).alias("spread"))
+    maybe = spread.where(F.col("spread") >= min_sites * (1 - margin))
+    sure = F.col("spread") >= min_sites * (1 + margin)
     # The complement is a key that the sketches aren't partitioned by: the few lines near a threshold then cross the
     # network on their own, and the join can split a line that is on very many pages.
     mirror = F.bitwise_not("key").alias("key")
-    near = lines.select("site", mirror, "beside").join(maybe.where(~sure).select(mirror), "key", "left_semi").select("site", mirror, "beside")
-    # exact counts in two steps, so that a frequent line's sites and neighbours are summed up before they meet
+    near = lines.select("site", mirror, "whole").join(maybe.where(~sure).select(mirror), "key", "left_semi").select("site", mirror, "whole")
+    # exact counts in two steps, so that a frequent line's sites and texts are summed up before they meet
     n_sites = near.where("site is not null").groupBy("key", "site").agg(F.lit(1)).groupBy("key").agg(F.count(F.lit(1)).alias("sites"))
-    n_besides = near.groupBy("key", "beside").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("besides"), F.sum("n").alias("n"))
-    exact = n_sites.join(n_besides, "key").where((F.col("sites") >= min_sites) & (F.col("besides") * 2 >= F.col("n")))
+    n_wholes = near.groupBy("key", "whole").agg(F.lit(1)).groupBy("key").agg(F.count(F.lit(1)).alias("wholes"))
+    exact = n_sites.join(n_wholes, "key").where((F.col("sites") >= min_sites) & (F.col("wholes") >= min_sites))
     return maybe.where(sure).select("key").union(exact.select("key"))
 
 

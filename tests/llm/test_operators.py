@@ -383,6 +383,21 @@ def test_line_dedup(spark):
     assert line_dedup.without_boilerplate(df.limit(0)).collect() == []
 
 
+def test_line_dedup_of_footers_and_hot_copies(spark):
+    """Footers of several lines, lines before blank ones and lines of a hot copy group go; nine different texts aren't enough."""
+    rng = random.Random(8)
+    footer = ["We use cookies on this site.", "Copyright of the whole house.", "Licensed under the usual terms."]
+    spaced, hot, copied = "A notice before a blank line.", "On many sites and in a hot group.", "Nine different texts have this."
+    rows = [("\n".join([prose(rng, 8), spaced, "", *footer]), f"s{i % 14}") for i in range(40)]
+    rows += [(f"{prose(rng, 8)}\n{hot}\n{prose(rng, 8)}", f"s{i % 20}") for i in range(100)]
+    rows += [(f"The hot text of two thousand copies.\n{hot}\nAnd the end of the hot text.", f"s{i % 20}") for i in range(2000)]
+    rows += [(f"Text number {i % 9} of the copied ones.\n{copied}", f"s{i % 20}") for i in range(180)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_boilerplate(df).collect()}
+    gone = {*footer, spaced, hot}
+    assert got == {i: "\n".join(x for x in t.split("\n") if x not in gone) for i, (t, _) in enumerate(rows)}
+
+
 # ---------------------------------------------------------------- substrings
 
 
