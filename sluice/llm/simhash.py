@@ -226,7 +226,7 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
 
 
 def wide_fingerprint(text: bytes, k: int) -> list[int] | None:
-    """Three times 64 bits of SimHash over the distinct shingles; None without words."""
+    """Three times 64 bits of SimHash over the distinct shingles, and a hash of their set; None without words."""
     hashes = shingle_set(text, k)
     if not len(hashes):
         return None
@@ -237,6 +237,7 @@ def wide_fingerprint(text: bytes, k: int) -> list[int] | None:
             bits = common.mix64(hashes[i : i + (1 << 16)] + salt).view(np.uint8).reshape(-1, 8)
             ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
+    out.append(int(np.atleast_1d(common.mix64(hashes).sum(dtype=np.uint64)).view(np.int64)[0]))
     return out
 
 
@@ -262,9 +263,11 @@ def similar_links(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, recal
     """(u, v): doc_ids that connect the texts whose sets of ``k``-word shingles have a Jaccard similarity of ``similarity``.
 
     Wide fingerprints are dealt to shards by samples of their bits, as many
-    samples as find a pair at the very limit with probability ``recall`` (pairs
-    above it almost surely).  Pairs in reach of the limit are then verified by
-    the shingle sets themselves, of the documents concerned only.
+    samples as find a bit pattern at the very limit with probability ``recall``.
+    Pairs in reach of the limit are then verified by the shingle sets themselves,
+    of the documents concerned only.  Whatever that leaves apart, since no sample
+    has both texts or a crowded shard's forest went by other ones, is found
+    exactly: see ``missed``.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).where("doc_id is not null and text is not null")
 
@@ -277,7 +280,7 @@ def similar_links(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, recal
         return pa.array([np.unique(shingle_set(t.as_py(), k).view(np.int64) >> 32).astype(np.int32) for t in texts], pa.list_(pa.int32()))
 
     words = [f"w{i}" for i in range(WIDE)]
-    prints = common.staged(docs.select("doc_id", wide("text").alias("w")).where("w is not null").select("doc_id", *(F.col("w")[i].alias(c) for i, c in enumerate(words))), "wide")
+    prints = common.staged(docs.select("doc_id", wide("text").alias("w")).where("w is not null").select("doc_id", *(F.col("w")[i].alias(c) for i, c in enumerate([*words, "whole"]))), "wide")
     points = common.staged(prints.groupBy(*words).agg(F.min("doc_id").alias("id")), "wide-points")
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi  # how often a bit differs at the limit
     # So few steps that the number of samples, and with it what crosses the network, doesn't creep up with the table.
@@ -324,13 +327,135 @@ def similar_links(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, recal
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     maybe = common.staged(dealt.repartition("key").sortWithinPartitions("key", "id").mapInArrow(near, "u long, v long").where("u <> v").distinct(), "maybe")
-    ends = maybe.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    of = docs.join(ends, "doc_id", "left_semi").select("doc_id", sets("text").alias("s"))
-    both = maybe.join(of.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u").join(of.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    verified = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+    def verified(pairs: DataFrame, few: bool) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+        of = docs.join(F.broadcast(ends) if few else ends, "doc_id", "left_semi").select("doc_id", sets("text").alias("s"))
+        both = pairs.join(of.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u").join(of.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
     same = prints.join(points, words).where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    return verified.unionByName(same)
+    found = common.staged(verified(maybe, False).unionByName(same), "similar")
+    left = common.staged(missed(docs, prints.groupBy("whole").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), found, k=k, similarity=similarity, shard_rows=shard_rows), "missed")
+    return found.unionByName(verified(left, left.count() <= 500_000))
+
+
+# ---------------------------------------------------------------- what the samples miss
+
+_WORDS = common.RollingHash(11)
+SAMPLED, HOT, MOST_HOT = 16, 6, 1 << 19
+
+
+def _shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, hashes of the distinct shingles, their rows, sizes of the rows' sets), by row and hash."""
+    for first, data, offsets in common.text_chunks(texts):
+        data = common.lower_ascii(data)
+        starts, ends, at = common.words_in(data, offsets)
+        hashes, row = common.shingle_hashes(_WORDS.words(data, starts, ends), at, k)
+        order = np.lexsort((hashes, row))
+        hashes, row = hashes[order], row[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+        yield first, hashes[new], row[new], np.bincount(row[new], minlength=len(offsets) - 1)
+
+
+def prefixes(hashes: np.ndarray, row: np.ndarray, sizes: np.ndarray, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, place, count if hot) of the shingles of which two similar sets share one at least: the first of each set.
+
+    A set's order is by how hot a shingle is, then by hash, which is the same order in all sets.
+    """
+    keys, counts = hot
+    heat = np.zeros(len(hashes), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        heat = np.where(keys[at] == hashes, counts[at], 0)
+    order = np.lexsort((hashes, heat, row))
+    place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+    first = place < (sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1)[row]
+    order = order[first]
+    return hashes[order], row[first], place[first], heat[order]
+
+
+def missed(docs: DataFrame, wanted: DataFrame, links: DataFrame, *, k: int, similarity: float, shard_rows: int) -> DataFrame:
+    """(u, v): pairs that may be similar though ``links`` don't connect them; every such pair is among them.
+
+    Two sets of that similarity share one of their first shingles, in any order
+    that is the same for all.  Hot shingles come last in it, so they are among the
+    first of those sets only that hold little else; which are hot is told from a
+    part of the documents, and makes no difference to what is found.
+    """
+    spark = docs.sparkSession
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, hashes, _, _ in _shingle_sets(batch.column(0), k):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["key"])
+
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(every, "key long")
+    top = part.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "key").limit(MOST_HOT).toPandas()
+    keys, counts = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((keys[order], counts[order]))  # bounded by MOST_HOT
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, hashes, row, sizes in _shingle_sets(batch.column(1), k):
+                hashes, row, place, heat = prefixes(hashes, row, sizes, similarity, shared.value)
+                at = np.r_[0, np.cumsum(np.bincount(row, minlength=len(sizes)))].astype(np.int32)
+                parts = -(-heat * SAMPLED * 2 // shard_rows)  # an estimate of the list's length, in halves of a shard
+                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (hashes.view(np.int64), place.astype(np.int32), np.maximum(parts, 1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sizes)), pa.array(sizes.astype(np.int32)), *lists], names=["doc_id", "n", "keys", "places", "parts"])
+
+    known = wanted.join(components(links).select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    rows = docs.mapInArrow(firsts, "doc_id long, n int, keys array<long>, places array<int>, parts array<int>").where("n > 0").join(known, "doc_id")
+    lists = common.staged(rows, "prefixes").select("doc_id", "component", "n", F.explode(F.arrays_zip("keys", "places", "parts")).alias("x")).select(
+        F.col("x.keys").alias("key"), "doc_id", "component", "n", F.col("x.places").alias("place"), F.col("x.parts").alias("parts")
+    )
+    # A hot shingle's list is compared in pairs of bounded parts, unless one component holds all of it.
+    mixed = lists.where("parts > 1").groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+    hot = lists.where("parts > 1").join(F.broadcast(mixed), "key", "left_semi")  # MOST_HOT keys at most
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.xxhash64("key", F.least(p, own), F.greatest(p, own)))
+    columns = ["doc_id", "component", "n", "place"]
+    dealt = lists.where("parts = 1").select("key", *columns).union(hot.select(F.explode(pairs).alias("key"), *columns))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for edges, (ids, of, n, place) in _whole_shards(_gathered(batches)):
+            end = np.repeat(edges[1:], np.diff(edges))
+            i, us, vs, held = np.arange(len(ids)), [], [], 0
+            for d in itertools.count(1):
+                i = i[end[i] - i > d]
+                last = not len(i)
+                if not last:
+                    j = i + d
+                    ok = of[i] != of[j]
+                    a, b = i[ok], j[ok]
+                    needed = similarity / (1 + similarity) * (n[a].astype(np.int64) + n[b]) - 1e-6
+                    ok = np.minimum(n[a] - place[a], n[b] - place[b]) >= needed
+                    us.append(ids[a[ok]])
+                    vs.append(ids[b[ok]])
+                    held += int(ok.sum())
+                if held and (last or held > 1 << 20):
+                    u, v = np.concatenate(us), np.concatenate(vs)
+                    u, v = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                    us, vs, held = [], [], 0
+                if last:
+                    break
+
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(across, "u long, v long").where("u <> v").distinct()
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+        if held and (batch is None or sum(b.num_rows for b in held) >= rows):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
 
 
 def groups(docs: DataFrame, *, k: int = 4, radius: int = 4, similar_k: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -318,6 +318,47 @@ def test_similar_texts(spark, shard_rows):
     assert grouped[3] == 2 and grouped[1] == 0 and simhash.groups(documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("recall, shard_rows", [(0.02, 2048), (0.5, 40)])
+def test_similar_texts_that_no_sample_finds(spark, recall, shard_rows):
+    """With next to no samples, the texts connect as by all pairs; a passage that most texts share is no reason to link them."""
+    rng = random.Random(31)
+    passage, texts = prose(rng, 60), [None, "", "one two", "One TWO", "one"]
+    for i in range(60):
+        words = [f"{w}{rng.randrange(300)}" for w in prose(rng, rng.randint(40, 160)).split(" ")]
+        for changes in (0, 1, 2, 4):
+            own = list(words)
+            for p in rng.sample(range(len(own)), changes):
+                own[p] = f"changed{rng.random()}"
+            texts.append(" ".join(own) + (f" {passage}" if i % 3 else ""))
+    sets = [{*simhash.shingle_set((t or "").encode(), 5).tolist()} for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    found = [(r["u"], r["v"]) for r in simhash.similar_links(documents(spark, texts), recall=recall, shard_rows=shard_rows).collect()]
+    assert all(tuple(sorted(p)) in pairs for p in found)
+    assert components_by_pairs(range(len(texts)), found) == components_by_pairs(range(len(texts)), pairs)
+
+
+def test_similar_texts_of_one_template(spark):
+    """Texts on one template crowd the shards and are just not similar; the pairs among them that are must be found beside them."""
+    rng = random.Random(33)
+    template = [f"{w}{i}" for i, w in enumerate(prose(rng, 1504).split(" "))]
+
+    def changed(places):
+        own = list(template)
+        for p in places:
+            own[4 + 5 * p] = f"changed{rng.random()}"
+        return " ".join(own)
+
+    siblings = [rng.sample(range(300), 20) for _ in range(500)]  # a similarity of 0.77
+    beside = [p[:13] + rng.sample(sorted({*range(300)} - {*p}), 7) for p in siblings[:60]]  # of 0.83 with one of them
+    texts = [changed(p) for p in siblings + beside]
+    sets = [{*simhash.shingle_set(t.encode(), 5).tolist()} for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    found = [(r["u"], r["v"]) for r in simhash.similar_links(documents(spark, texts)).collect()]
+    expected = components_by_pairs(range(len(texts)), pairs)
+    assert 60 <= len(pairs) and len({*expected.values()}) > 200
+    assert components_by_pairs(range(len(texts)), found) == expected
+
+
 def test_components(spark):
     rng = random.Random(0)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 260)] + [(5, 5), (None, 3)]
