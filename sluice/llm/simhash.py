@@ -242,7 +242,10 @@ def wide_fingerprint(text: bytes, k: int) -> list[int] | None:
 
 
 def spanning(points: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """A least spanning forest of the pairs that differ in ``most`` bits at most: near ones connect first."""
+    """A least spanning forest of the pairs that differ in ``most`` bits at most: near ones connect first.
+
+    A link that fails the check of the sets has no substitute here; ``missed`` finds what it leaves apart.
+    """
     n = len(points)
     best, by, left, links = np.full(n, 1 << 20), np.zeros(n, np.int64), np.ones(n, bool), []
     at = 0
