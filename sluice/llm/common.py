@@ -47,14 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     Row groups are small, so that a writer holds little of them in memory.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", str(16 << 20)).parquet(path)
+    df.write.option("parquet.block.size", str(16 << 20)).option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -84,37 +84,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class RollingHash:
-    """Polynomial hashes of byte or symbol ranges, modulo 2**64."""
+class WordHash:
+    """64-bit hashes of words: sums of their bytes times odd numbers that are drawn for each place in a word.
+
+    Of two different words, whatever their lengths, at most one in 2**56 pairs of
+    such tables gives the same sum; two tables that are drawn apart give 112 bits.
+    """
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1, 1 << 62)) * 2 + 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.bytes = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up), 1 << 16)
-            with np.errstate(over="ignore"):
-                step = np.full(n, self.base, np.uint64)
-                step[0] = 1
-                self.up = np.cumprod(step)
-                step = np.full(n, self.inverse, np.uint64)
-                step[0] = 1
-                self.down = np.cumprod(step)
-
-    def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of values[start:end] for each range, mixed with its length."""
-        n = len(values)
-        self._powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self.up[:n], out=total[1:])
-        return mix64((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        self.start = np.uint64(seed << 40)
+        self._grow(64)
+
+    def _grow(self, n: int) -> None:
+        self.factors = mix64(mix64(np.arange(n, dtype=np.uint64) + self.start)) | np.uint64(1)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.ranges(self.bytes[data], starts, ends)
+        """A hash of data[start:end] for each word; no word is empty."""
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        n = ends - starts
+        at = np.cumsum(n) - n
+        if n.max() > len(self.factors):
+            self._grow(2 * int(n.max()))
+        place = np.arange(at[-1] + n[-1]) - np.repeat(at, n)
+        terms = self.factors[place] * (data[place + np.repeat(starts, n)] + np.uint64(1))
+        return mix64(np.add.reduceat(terms, at) + n.astype(np.uint64))
 
 
 def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -164,23 +158,28 @@ def row_of(counts_at: np.ndarray) -> np.ndarray:
 _PLACES = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every shingle of ``k`` words; a row with fewer words, but any, has one of them all.
+def windows_of(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every window of ``k`` words within a row.
 
     words: the words' hashes; offsets: of each row's words among them.
     """
-    n, counts = len(words), np.diff(offsets)
-    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for m in range(1, k + 1):
-        if m < k and not (counts == m).any() or n < m:
-            continue
-        total = np.zeros(n - m + 1, np.uint64)
-        for j in range(m):
-            total += words[j : n - m + 1 + j] * _PLACES[j]
-        row = row_of(offsets)[: n - m + 1]
-        inside = np.arange(n - m + 1) + m <= offsets[1:][row]
-        if m < k:
-            inside &= counts[row] == m
-        hashes.append(mix64(total[inside] + np.uint64(m)))
-        rows.append(row[inside])
-    return np.concatenate(hashes), np.concatenate(rows)
+    n = len(words) - k + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    total = np.zeros(n, np.uint64)
+    for j in range(k):
+        total += words[j : n + j] * _PLACES[j]
+    row = row_of(offsets)[:n]
+    inside = np.arange(n) + k <= offsets[1:][row]
+    return mix64(total[inside] + np.uint64(k)), row[inside]
+
+
+def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``windows_of``; a row with fewer words, but any, has one shingle of them all."""
+    found, counts = [windows_of(words, offsets, k)], np.diff(offsets)
+    for m in range(1, k):
+        if (counts == m).any():
+            hashes, row = windows_of(words, offsets, m)
+            short = counts[row] == m
+            found.append((hashes[short], row[short]))
+    return np.concatenate([h for h, _ in found]), np.concatenate([r for _, r in found])

@@ -14,15 +14,21 @@ recur, so does the symbol.
    within it is shared.  A window that repeats anywhere always is one, as its
    symbols repeat with it; a window without such symbols is one, too (text so
    regular that nothing is decided within it).
-3. Candidates are verified: they are grouped by a 128-bit hash of their words
-   to find the smallest document id of each.
+3. Candidates are verified: they are grouped by two hashes of 64 bits of their
+   words, to find the smallest document id of each.  Either is a sum of the
+   words' hashes times odd numbers drawn for each place in a window, and a
+   word's hash one of its bytes likewise, from other numbers for either.  So no
+   regularity in a text makes different windows collide: a given pair does for
+   one in 2**100 draws.
 4. Words covered by a window that also starts in a smaller document are removed.
 
-The documents' texts cross the network once (both joins use one exchange).
-Groups of copies of any size pass through sums with a partial stage and joins
-only.  Null texts and texts of fewer than ``length`` words lose nothing.
-Repeated rows of one id are no smaller document to each other.  An empty table
-gives no rows.  Other columns are ignored.
+The documents' texts cross the network once, compressed (both joins use one
+exchange).  Groups of copies of any size pass through sums with a partial stage
+and joins only.  Null texts and texts of fewer than ``length`` words lose
+nothing.  Repeated rows of one id are no smaller document to each other, and
+each of them loses what its own text repeats.  A row without an id is no
+document to others and loses nothing.  An empty table gives no rows.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +46,8 @@ from sluice.llm import common
 
 ROUNDS = ("run", "pair", "pair", "run", "pair", "pair", "pair", "pair", "pair")
 LONGEST = 16
-_WORD = common.RollingHash(81)
-_WINDOWS = (common.RollingHash(82), common.RollingHash(83))
+_WORDS = (common.WordHash(81), common.WordHash(82))
+_PLACES = np.arange(1, 3, dtype=np.uint64)[:, None] << np.uint64(32)
 _A, _B, _C = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1342543DE82EF95))
 _SIDES = common.mix64(np.arange(1, len(ROUNDS) + 1, dtype=np.uint64))
 
@@ -105,11 +112,20 @@ def recompress(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _long_rows(data: np.ndarray, offsets: np.ndarray, length: int):
-    """(words' hashes, their offsets, row numbers) of the rows with a window."""
+    """(starts and ends of the words, their offsets, row numbers) of the rows with a window."""
     starts, ends, at = common.words_in(data, offsets)
     rows = np.flatnonzero(np.diff(at) >= length)
     keep = np.repeat(np.diff(at) >= length, np.diff(at))
-    return _WORD.words(data, starts[keep], ends[keep]), np.r_[0, np.cumsum(np.diff(at)[rows])], rows
+    return starts[keep], ends[keep], np.r_[0, np.cumsum(np.diff(at)[rows])], rows
+
+
+def window_hashes(words: np.ndarray, places: np.ndarray, length: int, which: int) -> np.ndarray:
+    """Hashes of the windows words[p:p + length]; which: of the two sets of numbers."""
+    total = np.zeros(len(places), np.uint64)
+    factors = common.mix64(np.arange(length, dtype=np.uint64) + _PLACES[which]) | np.uint64(1)
+    for j in range(length):
+        total += words[places + j] * factors[j]
+    return common.mix64(total)
 
 
 def candidates(words: np.ndarray, at: np.ndarray, known: list[tuple[np.ndarray, np.ndarray]], length: int) -> list[np.ndarray]:
@@ -138,15 +154,38 @@ def symbols_of(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for begin, data, offsets in common.text_chunks(batch.column(1)):
-                words, at, rows = _long_rows(data, offsets, length)
-                name, first, last = recompress(words, at)
+            ids, twins = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for begin, data, offsets in common.text_chunks(batch.column(2)):
+                starts, ends, at, rows = _long_rows(data, offsets, length)
+                name, first, last = recompress(_WORDS[0].words(data, starts, ends), at)
                 row = np.searchsorted(at, first, "right") - 1
                 ok = (last <= at[row + 1]) & (last - first <= length)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[begin + rows[row[ok]]], pa.int64()), pa.array(name[ok], pa.int64())], names=["doc_id", "name"])
+                of = begin + rows[row[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids[of], twins[of], name[ok])], names=["doc_id", "twin", "name"])
+
+    return docs.select("doc_id", "twin", "text").mapInArrow(run, "doc_id long, twin long, name long")
+
+
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, twin, text -> the same with compressed texts, for the way across the network."""
+    squeeze = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+    for batch in batches:
+        texts = pa.array([None if not x.is_valid else squeeze(x.as_py()) for x in batch.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["doc_id", "twin", "text"])
 
-    return docs.mapInArrow(run, "doc_id long, name long")
+
+def _whole(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts as they were, some of them at a time."""
+    expand = zstandard.ZstdDecompressor().decompress
+    held, size = [], 0
+    for x in texts:
+        held.append(expand(x.as_py()) if x.is_valid else b"")
+        size += len(held[-1])
+        if size > common.CHUNK_BYTES:
+            yield pa.array(held, pa.large_binary())
+            held, size = [], 0
+    if held:
+        yield pa.array(held, pa.large_binary())
 
 
 def _lists(column: pa.Array, rows: np.ndarray) -> list[np.ndarray]:
@@ -157,21 +196,31 @@ def _lists(column: pa.Array, rows: np.ndarray) -> list[np.ndarray]:
 
 
 def _windows(length: int):
+    """doc_id, text, later, earlier -> one, two, doc_id, twin, pos, later of the candidates."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for begin, data, offsets in common.text_chunks(batch.column(1)):
-                words, at, rows = _long_rows(data, offsets, length)
-                if not len(rows):
-                    continue
-                known = [_lists(batch.column(i), begin + rows) for i in (2, 3)]
-                later, earlier = candidates(words, at, [(np.concatenate(k), np.repeat(np.arange(len(k)), [*map(len, k)])) for k in known], length)
-                p = np.flatnonzero(later | earlier)
-                row = np.searchsorted(at, p, "right") - 1
-                one, two = (h.ranges(words, p, p + length) for h in _WINDOWS)
-                columns = (one.view(np.int64), two.view(np.int64) >> 32, ids[begin + rows[row]], p - at[row], later[p])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["one", "two", "doc_id", "pos", "later"])
+            ids, twins = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            done = 0
+            for texts in _whole(batch.column(2)):
+                for begin, data, offsets in common.text_chunks(texts):
+                    starts, ends, at, rows = _long_rows(data, offsets, length)
+                    if not len(rows):
+                        continue
+                    own = done + begin + rows
+                    known = [_lists(batch.column(i), own) for i in (3, 4)]
+                    words = _WORDS[0].words(data, starts, ends)
+                    later, earlier = candidates(words, at, [(np.concatenate(k), np.repeat(np.arange(len(k)), [*map(len, k)])) for k in known], length)
+                    p = np.flatnonzero(later | earlier)
+                    if not len(p):
+                        continue
+                    row = np.searchsorted(at, p, "right") - 1
+                    one, two = window_hashes(words, p, length, 0), window_hashes(_WORDS[1].words(data, starts, ends), p, length, 1)
+                    columns = (one.view(np.int64), two.view(np.int64), ids[own[row]], twins[own[row]], p - at[row], later[p])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["one", "two", "doc_id", "twin", "pos", "later"])
+                done += len(texts)
 
     return run
 
@@ -179,75 +228,84 @@ def _windows(length: int):
 def _kept(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, kept = [], [], []
             starts = _lists(batch.column(2), np.arange(batch.num_rows))
-            for text, begins, copy in zip(batch.column(1), starts, batch.column(3).to_pylist(), strict=True):
-                words = (text.as_py() or b"").split()
-                gone = 0
-                if copy and len(words) >= length:
-                    words, gone = [], len(words)
-                elif len(begins):
-                    covered = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(covered, begins, 1)
-                    np.add.at(covered, begins + length, -1)
-                    left = np.cumsum(covered[:-1]) == 0
-                    gone = len(words) - int(left.sum())
-                    words = [*itertools.compress(words, left.tolist())]
-                n.append(len(words) + gone)
-                removed.append(gone)
-                kept.append(b" ".join(words))
-            kept = pa.array(kept, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), kept], names=["doc_id", "n_words", "n_removed", "kept"])
+            copies = batch.column(3).to_pylist()
+            done = 0
+            for texts in _whole(batch.column(1)):
+                n, removed, kept = [], [], []
+                for text, begins, copy in zip(texts, starts[done:], copies[done:], strict=False):
+                    words = text.as_py().split()
+                    gone = 0
+                    if copy and len(words) >= length:
+                        words, gone = [], len(words)
+                    elif len(begins):
+                        covered = np.zeros(len(words) + 1, np.int64)
+                        np.add.at(covered, begins, 1)
+                        np.add.at(covered, begins + length, -1)
+                        left = np.cumsum(covered[:-1]) == 0
+                        gone = len(words) - int(left.sum())
+                        words = [*itertools.compress(words, left.tolist())]
+                    n.append(len(words) + gone)
+                    removed.append(gone)
+                    kept.append(b" ".join(words))
+                out = pa.array(kept, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(n)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), out], names=["doc_id", "n_words", "n_removed", "kept"])
+                done += len(n)
 
     return run
 
 
 def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of every document; kept: the words left, joined by one space.
-
-    A doc_id stands for one text; a row without an id has no repeats.
-    """
+    """(doc_id, n_words, n_removed, kept) of every document; kept: the words left, joined by one space."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    known = docs.where("doc_id is not null")
+    both = ["one", "two"]
+    hashed = docs.withColumns({"one": F.xxhash64("text"), "two": F.xxhash64(F.lit(1), "text")})
+    texts = common.staged(hashed.where("doc_id is not null and text is not null").select("doc_id", *both), "texts")
+    # Rows of one id with different texts are told apart by the hash of their text; no other row needs that.
+    whole = F.struct(*both)
+    several = texts.groupBy("doc_id").agg(F.min(whole).alias("a"), F.max(whole).alias("b")).where("a < b").select("doc_id", F.lit(True).alias("several"))
+    if several.isEmpty():
+        docs, texts = docs.withColumn("twin", F.lit(0).cast("long")), texts.withColumn("twin", F.lit(0).cast("long"))
+    else:
+        twin = F.when(F.col("several") & F.col("one").isNotNull(), F.col("one")).otherwise(0).alias("twin")
+        docs = hashed.join(several, "doc_id", "left").select("doc_id", "text", twin)
+        texts = texts.join(several, "doc_id", "left").select("doc_id", *both, twin)
+    row = ["doc_id", "twin"]
     # Whole texts first: the top symbol of any copy is shared, and a copy of a smaller document keeps nothing.
-    texts = known.where("text is not null").select("doc_id", F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two"))
-    copies = (
-        texts.join(texts.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1"), ["one", "two"])
-        .where("doc_id > lo")
-        .select("doc_id")
-    )
-    symbols = symbols_of(known, length)
+    copies = texts.join(texts.groupBy(*both).agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1"), both).where("doc_id > lo").select(*row)
+    symbols = symbols_of(docs.where("doc_id is not null"), length)
     shared = symbols.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     # The complement is a key that the sums aren't partitioned by, so that they cross the network on their own and the
     # join can split a name that very many documents share; so it is with the windows below.
     mirrored = shared.select(F.bitwise_not("name").alias("mirror"), "lo", "hi")
     name = F.bitwise_not("mirror")
     marks = (
-        symbols.select("doc_id", F.bitwise_not("name").alias("mirror"))
+        symbols.select(*row, F.bitwise_not("name").alias("mirror"))
         .join(mirrored, "mirror")
-        .select("doc_id", F.when(F.col("lo") < F.col("doc_id"), name).alias("later"), F.when(F.col("hi") > F.col("doc_id"), name).alias("earlier"), F.lit(False).alias("copy"))
+        .select(*row, F.when(F.col("lo") < F.col("doc_id"), name).alias("later"), F.when(F.col("hi") > F.col("doc_id"), name).alias("earlier"), F.lit(False).alias("copy"))
     )
     none = F.lit(None).cast("long")
     marks = (
-        marks.unionByName(copies.select("doc_id", none.alias("later"), none.alias("earlier"), F.lit(True).alias("copy")))
-        .groupBy("doc_id")
+        marks.unionByName(copies.select(*row, none.alias("later"), none.alias("earlier"), F.lit(True).alias("copy")))
+        .groupBy(*row)
         .agg(F.collect_set("later").alias("later"), F.collect_set("earlier").alias("earlier"), F.max("copy").alias("copy"))
     )
+    squeezed = docs.select(*row, "text").mapInArrow(_squeezed, "doc_id long, twin long, text binary")
     windows = (
-        docs.join(marks, "doc_id", "left")
+        squeezed.join(marks, row, "left")
         .where("not coalesce(copy, false)")  # nothing that would be pushed below the join: the texts' exchange is used again
-        .select("doc_id", "text", "later", "earlier")
-        .mapInArrow(_windows(length), "one long, two int, doc_id long, pos int, later boolean")
+        .select(*row, "text", "later", "earlier")
+        .mapInArrow(_windows(length), "one long, two long, doc_id long, twin long, pos int, later boolean")
     )
-    firsts = windows.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    both = [F.bitwise_not("one").alias("one"), "two"]
-    hits = windows.where("later").select("doc_id", "pos", *both).join(firsts.select("lo", *both), ["one", "two"]).where("doc_id > lo").select("doc_id", F.col("pos").cast("long"), F.lit(False).alias("copy"))
+    firsts = windows.groupBy(*both).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    mirror = [F.bitwise_not("one").alias("one"), "two"]
+    hits = windows.where("later").select(*row, "pos", *mirror).join(firsts.select("lo", *mirror), both).where("doc_id > lo").select(*row, F.col("pos").cast("long"), F.lit(False).alias("copy"))
     hits = (
-        hits.unionByName(copies.select("doc_id", none.alias("pos"), F.lit(True).alias("copy")))
-        .groupBy("doc_id")
+        hits.unionByName(copies.select(*row, none.alias("pos"), F.lit(True).alias("copy")))
+        .groupBy(*row)
         .agg(F.collect_set("pos").alias("starts"), F.max("copy").alias("copy"))
     )
-    return docs.join(hits, "doc_id", "left").select("doc_id", "text", "starts", "copy").mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept string")
+    return squeezed.join(hits, row, "left").select("doc_id", "text", "starts", "copy").mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept string")
 
 
 ORACLE_SQL = r"""

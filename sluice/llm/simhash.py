@@ -346,7 +346,7 @@ def similar_links(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, recal
 
 # ---------------------------------------------------------------- what the samples miss
 
-_WORDS = common.RollingHash(11)
+_WORDS = common.WordHash(11)
 SAMPLED, HOT, MOST_HOT = 16, 6, 1 << 19
 
 

@@ -373,18 +373,22 @@ def test_components(spark):
 
 def test_decontamination(spark):
     rng = random.Random(6)
-    items = [prose(rng, n) for n in (3, 5, 8, 20, 20, 60, 200)] + [None, "", "one two three", "ONE, two; three!"]
-    texts = [*corpus(6), "one two three", "one two three four"]
+    items = [prose(rng, n) for n in (3, 5, 8, 20, 20, 60, 200)] + [None, "", "one two three", "ONE, two; three!", "unheard", "of four unheard words"]
+    texts = [*corpus(6), "one two three", "one two three four", "zero one two three four five six", "an (Unheard) word among others, long", f"{prose(rng, 50)} of four unheard words {prose(rng, 50)}"]
     for item in items[:7]:
         words = item.split(" ")
         texts.append(f"{prose(rng, 400)} {item.upper() if len(words) < 30 and item.isascii() else item} {prose(rng, 400)}")
         texts.append(f"{prose(rng, 50)} {' '.join(words[: max(3, len(words) * 9 // 10)])} {prose(rng, 9)}")
         texts.append(f"{prose(rng, 50)} {' '.join(words[: len(words) // 2])}")
     expected = {}
-    for d, t in enumerate(texts):
-        own = decontamination.shingles(t)
-        for i, item in enumerate(items):
-            wanted = decontamination.shingles(item)
+    plain = [re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[!-/:-@\[-`{-~]", "", (t or "").lower() if (t or "").isascii() else (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))) for t in texts + items]
+    windows = lambda words, k: {tuple(words[p : p + k]) for p in range(len(words) - k + 1)}
+    for d in range(len(texts)):
+        for i in range(len(items)):
+            item = plain[len(texts) + i]
+            size = min(5, len(item))
+            wanted = windows(item, size) if item else set()
+            own = windows(plain[d], size)
             if wanted and len(wanted & own) >= 0.8 * len(wanted) - 1e-9:
                 expected[d, i] = (len(wanted), len(wanted & own))
     bench = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)], "item_id long, text string, doc_id int")
@@ -476,6 +480,27 @@ def test_repeats_of_odd_rows(spark):
     long = " ".join(map(str, range(80)))
     got = recompression.without_repeats(documents(spark, [long, long, long, None], [3, 3, None, 1])).collect()
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == [("1", 0), ("3", 0), ("3", 0), ("None", 0)]
+    # an id with two texts, one of them a copy: the other one keeps its words
+    other = " ".join(f"own{i}" for i in range(70))
+    rows = [(1, long), (3, long), (3, other), (3, other + " " + long), (4, other), (None, long)]
+    got = recompression.without_repeats(documents(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in got) == [("1", 80, 0), ("3", 70, 0), ("3", 80, 80), ("3", 150, 80), ("4", 70, 70), ("None", 80, 0)]
+
+
+def test_repeats_of_words_that_defeat_polynomial_hashes(spark):
+    """Two words of 1024 characters on which polynomials modulo a power of two agree, in texts that are equal but for them."""
+    thue = "a"
+    for _ in range(10):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    mirrored = thue.translate(str.maketrans("ab", "ba"))
+    around = [f"word{i}" for i in range(49)]
+    texts = [" ".join([thue, *around]), " ".join([mirrored, *around]), " ".join([thue, *around])]
+    got = {r["doc_id"]: r["n_removed"] for r in recompression.without_repeats(documents(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 50}
+    data = np.frombuffer((thue + mirrored).encode(), np.uint8)
+    for seed in range(20):
+        one, two = common.WordHash(seed).words(data, np.array([0, 1024]), np.array([1024, 2048])).tolist()
+        assert one != two
     assert recompression.without_repeats(documents(spark, [])).collect() == []
 
 
@@ -494,59 +519,128 @@ def test_symbols_recur_with_their_reach():
 # ---------------------------------------------------------------- language model
 
 
+def lm_tokens(text):
+    return [*(text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split(), None]
+
+
+def base_scores(texts, learnt):
+    """(n_tokens, n_known, train_tokens, base_score) of each text; learnt: which texts are counted."""
+    tokens = [lm_tokens(t) for t in texts]
+    count = collections.Counter(w for own, ok in zip(tokens, learnt, strict=True) if ok for w in own)
+    total, distinct = sum(count.values()), len(count)
+    return [(len(own), sum(count[w] > 0 for w in own), total, sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in own)) for own in tokens]
+
+
+def same_base(row, expected):
+    return (row["n_tokens"], row["n_known"], row["train_tokens"]) == expected[:3] and math.isclose(row["base_score"], expected[3], rel_tol=1e-9)
+
+
 def test_language_model(spark):
-    texts = corpus(8, 60)
+    texts = [*corpus(8, 60), "a\xa0 b \xa0 \xa0\xa0 c", "<|endoftext|> Upper UPPER <|endoftext|>"]
     training = F.col("doc_id") % 4 != 2
-    rows = lm_scoring.scored(documents(spark, texts), training, tokenizer_path(), frequent=20, sample_docs=50).collect()
-    got = {r["doc_id"]: r for r in rows}
-    tokens = {i: [*(w.lower() if w.isascii() else w.decode().translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode() for w in (t or "").encode().split()), None] for i, t in enumerate(texts)}
-    count = collections.Counter(w for i in tokens if i % 4 != 2 for w in tokens[i])
-    total, distinct = sum(count.values()), len(count)
-    for i, own in tokens.items():
-        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(own), sum(count[w] > 0 for w in own), total)
-        assert math.isclose(got[i]["base_score"], sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in own), rel_tol=1e-9)
-        assert got[i]["score"] < 0
-    twice = lm_scoring.scored(documents(spark, [*texts[7:30], texts[20]], [*range(7, 30), 20]), training, tokenizer_path(), frequent=20, sample_docs=9).where("doc_id = 20").collect()
-    assert len(twice) == 2 and twice[0] == twice[1] and twice[0]["n_tokens"] == len(tokens[20])
+    for frequent, task_subwords in ((20, 3000), (1 << 18, 1 << 20)):
+        rows = lm_scoring.scored(documents(spark, texts), training, tokenizer_path(), frequent=frequent, task_subwords=task_subwords).collect()
+        got = {r["doc_id"]: r for r in rows}
+        for i, expected in enumerate(base_scores(texts, [i % 4 != 2 for i in range(len(texts))])):
+            assert same_base(got[i], expected), i
+            assert got[i]["score"] < 0
     assert lm_scoring.scored(documents(spark, []), training, tokenizer_path()).collect() == []
     untrained = lm_scoring.scored(documents(spark, ["a b", None]), F.col("doc_id") < 0, tokenizer_path()).collect()
     assert [(r["n_known"], r["train_tokens"], r["base_score"]) for r in untrained] == [(0, 0, 0.0)] * 2
 
 
+def test_language_model_of_odd_rows(spark):
+    """Rows without an id and ids with several texts are scored each by its own text."""
+    texts = ["the river the", "the river the", None, "the stone", "a house of stone", "the river", "winter " * 300]
+    ids = [3, 3, None, None, 3, 5, 9]
+    learnt = [i is not None and i != 9 for i in ids]
+    got = lm_scoring.scored(documents(spark, texts, ids), F.col("doc_id") != 9, tokenizer_path(), frequent=1).collect()
+    left = sorted(zip(map(str, ids), base_scores(texts, learnt), strict=True), key=str)
+    assert len(got) == len(texts)
+    for r in got:
+        match = next(x for x in left if x[0] == str(r["doc_id"]) and same_base(r, x[1]))
+        left.remove(match)
+    assert left == []
+
+
+def test_language_model_beats_single_subwords(spark):
+    """On texts that it has not seen, the model is better than the subwords' own frequencies, with one task or several."""
+    rng = random.Random(17)
+    words = [prose(rng, 1) + prose(rng, 1) for _ in range(300)]
+    follow = {w: rng.sample(words, 4) for w in words}
+
+    def walk(n):
+        out = [rng.choice(words)]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    texts = [walk(rng.randint(30, 200)) for _ in range(600)]
+    training = F.col("doc_id") % 5 != 0
+    encode = packing.tokenizer(tokenizer_path())
+    ids = [[*(i for w in t.split() for i in encode.ids(" " + w)), encode.size - 1] for t in texts]
+    count = collections.Counter(x for i, own in enumerate(ids) if i % 5 for x in own)
+    total = sum(count.values()) + encode.size
+    single = {i: sum(math.log10((count[x] + 1) / total) for x in own) for i, own in enumerate(ids)}
+    for task_subwords in (1 << 20, 50_000):
+        got = {r["doc_id"]: r["score"] for r in lm_scoring.scored(documents(spark, texts), training, tokenizer_path(), task_subwords=task_subwords).collect()}
+        held = range(0, 600, 5)
+        assert sum(got[i] for i in held) > 0.95 * sum(single[i] for i in held)
+
+
+def pairs_of(sample):
+    pairs, n = np.unique(np.stack([sample[:-1], sample[1:]]), axis=1, return_counts=True)
+    return np.concatenate([pairs, n[None]]).T
+
+
 def test_attention_gradient_and_windows():
     rng = np.random.default_rng(0)
     sample = rng.integers(0, 30, 500)
-    model = attention_lm.AttentionModel.new(np.bincount(sample, minlength=30), sample, 6)
-    hidden, _ = model._forward(np.array([[1, 2, 3]]))
-    assert math.isclose(np.exp(model.log_classes(hidden)[0, -1][model.classes] + model.within).sum(), 1, rel_tol=1e-5)
+    model = attention_lm.AttentionModel.new(np.bincount(sample, minlength=34), pairs_of(sample), n_groups=4, n_leaves=6)
+
+    def log_probability(before, following):
+        hidden = np.append(model._attend(np.array([before]))[0][0, -1], 1)
+        first, second = hidden @ model.weights["U"], hidden @ model.weights["W"][model.groups[following]]
+        return first[model.groups[following]] - np.log(np.exp(first).sum()) + second[model.leaves[following]] - np.log(np.exp(second).sum()) + model.within[following]
+
+    assert math.isclose(sum(math.exp(log_probability([1, 2, 3], x)) for x in range(34)), 1, rel_tol=1e-4)
     ids, at = rng.integers(0, 30, 200), np.array([0, 90, 90, 91, 93, 200])
-    expected = []
     stride = attention_lm.WINDOW - attention_lm.OVERLAP
-    for a, b in itertools.pairwise(at.tolist()):
-        x, total = ids[a:b], 0.0
-        for j in range(1, len(x)):
-            begin = max(0, -(-(j - attention_lm.WINDOW) // stride)) * stride
-            h, _ = model._forward(x[None, begin:j])
-            total += model.log_classes(h)[0, -1][model.classes[x[j]]] + model.within[x[j]]
-        expected.append(total)
-    assert np.allclose(model.log_probabilities(ids, at), expected, rtol=1e-4)
+    for near in (False, True):
+        model.near = near
+        expected = []
+        for a, b in itertools.pairwise(at.tolist()):
+            x, total = ids[a:b].tolist(), 0.0
+            for j in range(1, len(x)):
+                begin = max(0, -(-(j - attention_lm.WINDOW) // stride)) * stride
+                total += log_probability(x[begin:j], x[j])
+            expected.append(total)
+        assert np.allclose(model.log_probabilities(ids, at), expected, rtol=1e-4)
+    model.near = False
     model.weights = {k: v.astype(float) for k, v in model.weights.items()}
     batch, following, counted = rng.integers(0, 30, (3, 10)), rng.integers(0, 30, (3, 10)), rng.random((3, 10)) < 0.7
     _, grad = model.step(batch, following, counted)
     for name in attention_lm.NAMES:
         w = model.weights[name]
-        at_ = (batch[1, 4], 5) if name == "E" else (3, 2) if w.ndim == 2 else (1,)
+        at_ = (batch[1, 4], 5) if name == "E" else (model.groups[following[counted][0]], 3, 2) if name == "W" else (3, 2)
         w[at_] += 1e-5
         up, _ = model.step(batch, following, counted)
         w[at_] -= 2e-5
         down, _ = model.step(batch, following, counted)
         w[at_] += 1e-5
         value = grad["E"][batch == at_[0]][:, 5].sum() if name == "E" else grad[name][at_]
-        assert math.isclose((up - down) / 2e-5, value, rel_tol=1e-3, abs_tol=1e-7)
-    before = model.log_probabilities(sample, np.array([0, 500])).sum()
+        assert math.isclose((up - down) / 2e-5, value, rel_tol=1e-3, abs_tol=1e-7), name
     model.weights = {k: v.astype(np.float32) for k, v in model.weights.items()}
-    model.fit(sample, np.array([0, 500]), epochs=5)
-    assert model.log_probabilities(sample, np.array([0, 500])).sum() > before
+    again = attention_lm.AttentionModel.unpacked(model.packed())
+    ends = np.array([0, 500])
+    before = model.log_probabilities(sample, ends).sum()
+    assert math.isclose(again.log_probabilities(sample, ends).sum(), before, rel_tol=1e-5)
+    for _ in range(5):
+        model.fit(sample, ends)
+    assert model.log_probabilities(sample, ends).sum() > before
+    seen = np.bincount(sample, minlength=34)
+    mean = attention_lm.AttentionModel.unpacked(attention_lm.averaged([(again.packed(), seen), (model.packed(), 3 * seen)])[0])
+    assert np.allclose(mean.weights["U"], again.weights["U"] / 4 + model.weights["U"] * 3 / 4, atol=1e-5)
 
 
 # ---------------------------------------------------------------- classifier
@@ -583,5 +677,5 @@ def test_words_on_bytes():
     starts, ends, of = common.words_in(joined, at)
     words = [joined[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
     assert [words[of[i] : of[i + 1]] for i in range(5)] == [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
-    h = common.RollingHash(1).words(joined, starts, ends)
+    h = common.WordHash(1).words(joined, starts, ends)
     assert len(set(h.tolist())) == len(set(words))
