@@ -31,6 +31,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -215,30 +216,38 @@ def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
 # ---------------------------------------------------------------- similar texts
 
 WIDE = 3
+_WIDE_WORDS = tuple(f"w{i}" for i in range(WIDE))
 _SALTS = common.mix64(np.arange(1, WIDE + 1, dtype=np.uint64))
+_AT_ONCE = 1 << 14  # hashes whose bits are counted at once
 
 
-def shingle_set(text: bytes, k: int) -> np.ndarray:
-    """Hashes of the distinct lower-cased shingles."""
-    words = text.translate(_LOWER).split()
-    shingles = {b" ".join(s) for s in zip(*(words[i:] for i in range(k)), strict=False)} if len(words) >= k else {b" ".join(words)} if words else set()
-    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
-
-
-def wide_fingerprint(text: bytes, k: int) -> list[int] | None:
-    """Three times 64 bits of SimHash over the distinct shingles, and a hash of their set; None without words."""
-    hashes = shingle_set(text, k)
-    if not len(hashes):
-        return None
-    out = []
-    for salt in _SALTS:
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), 1 << 16):
-            bits = common.mix64(hashes[i : i + (1 << 16)] + salt).view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
-    out.append(int(np.atleast_1d(common.mix64(hashes).sum(dtype=np.uint64)).view(np.int64)[0]))
-    return out
+def wide_fingerprints(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, three times 64 bits of SimHash over its distinct shingles, and a hash of their set; and whether it has any."""
+    n = len(texts)
+    out, full = np.zeros((n, WIDE + 1), np.uint64), np.zeros(n, bool)
+    for first, hashes, row, sizes in _shingle_sets(texts, k):
+        present = np.flatnonzero(sizes)
+        if not len(present):
+            continue
+        at = (np.cumsum(sizes) - sizes)[present]
+        rows = first + present
+        full[rows] = True
+        out[rows, WIDE] = common.mix64(np.add.reduceat(common.mix64(hashes), at) + sizes[present].astype(np.uint64))
+        cut = np.r_[at, len(hashes)]
+        for i, salt in enumerate(_SALTS):
+            ones = np.zeros((len(present), 64), np.int64)
+            bits = common.mix64(hashes + salt).view(np.uint8).reshape(-1, 8)
+            j = 0
+            while j < len(present):  # a bounded number of bits at a time, but whole texts
+                upto = max(j + 1, int(np.searchsorted(cut, cut[j] + _AT_ONCE, "right")) - 1)
+                if upto == j + 1:  # perhaps a very long one
+                    for b in range(cut[j], cut[upto], _AT_ONCE):
+                        ones[j] += np.unpackbits(bits[b : min(b + _AT_ONCE, cut[upto])], axis=1, bitorder="little").sum(0, dtype=np.int64)
+                else:
+                    ones[j:upto] = np.add.reduceat(np.unpackbits(bits[cut[j] : cut[upto]], axis=1, bitorder="little"), cut[j:upto] - cut[j], axis=0, dtype=np.int32)
+                j = upto
+            out[rows, i] = np.packbits(2 * ones > sizes[present][:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out, full
 
 
 def spanning(points: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -262,28 +271,50 @@ def spanning(points: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def similar_links(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, recall: float = 0.95, shard_rows: int = 2048) -> DataFrame:
-    """(u, v): doc_ids that connect the texts whose sets of ``k``-word shingles have a Jaccard similarity of ``similarity``.
+def prints_of(docs: DataFrame, k: int, similar_k: int) -> DataFrame:
+    """doc_id, fingerprint (of ``k`` words), w0, w1, w2, whole (of ``similar_k`` words; null without words), staged: all that the links need, by one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            wide, full = wide_fingerprints(texts, similar_k)
+            narrow = pa.array([fingerprint(t.as_py() or b"", k) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), narrow, *(pa.array(wide[:, i].view(np.int64), mask=~full) for i in range(WIDE + 1))], names=["doc_id", "fingerprint", *_WIDE_WORDS, "whole"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).where("doc_id is not null")
+    return common.staged(texts.mapInArrow(run, "doc_id long, fingerprint long, " + ", ".join(f"{c} long" for c in _WIDE_WORDS) + ", whole long"), "prints")
+
+
+def similar_links(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, recall: float = 0.95, shard_rows: int = 2048, radius: int | None = None, narrow_k: int = 4) -> tuple[DataFrame, DataFrame]:
+    """What connects the texts whose sets of ``k``-word shingles have a Jaccard similarity of ``similarity``: components, and links between them.
+
+    (node, component) and (u, v), doc_ids; a document without a link, or with one of the second kind only, has no row in the first.
 
     Wide fingerprints are dealt to shards by samples of their bits, as many
     samples as find a bit pattern at the very limit with probability ``recall``.
     Pairs in reach of the limit are then verified by the shingle sets themselves,
     of the documents concerned only.  Whatever that leaves apart, since no sample
     has both texts or a crowded shard's forest went by other ones, is found
-    exactly: see ``missed``.
+    exactly: see ``missed``.  With a ``radius``, the links of ``links`` are
+    among those of the components.
     """
+    prints = prints_of(docs, narrow_k, k)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).where("doc_id is not null and text is not null")
-
-    @F.arrow_udf("array<long>")
-    def wide(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_fingerprint(t.as_py(), k) for t in texts], pa.list_(pa.int64()))
+    narrow = None
+    if radius is not None:  # before the wide ones, as texts without words have a narrow fingerprint only
+        points = common.staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "points")
+        narrow = links(points, radius).unionByName(prints.join(points, "fingerprint").where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v")))
+    prints = prints.where("whole is not null").drop("fingerprint")
 
     @F.arrow_udf("array<int>")
     def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_set(t.as_py(), k).view(np.int64) >> 32).astype(np.int32) for t in texts], pa.list_(pa.int32()))
+        parts = []
+        for _, hashes, _, sizes in _shingle_sets(texts, k):
+            cut = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+            parts.append(pa.ListArray.from_arrays(pa.array(cut), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-    words = [f"w{i}" for i in range(WIDE)]
-    prints = common.staged(docs.select("doc_id", wide("text").alias("w")).where("w is not null").select("doc_id", *(F.col("w")[i].alias(c) for i, c in enumerate([*words, "whole"]))), "wide")
+    words = [*_WIDE_WORDS]
     points = common.staged(prints.groupBy(*words).agg(F.min("doc_id").alias("id")), "wide-points")
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi  # how often a bit differs at the limit
     # So few steps that the number of samples, and with it what crosses the network, doesn't creep up with the table.
@@ -339,9 +370,10 @@ def similar_links(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, recal
         return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
     same = prints.join(points, words).where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    found = common.staged(verified(maybe, False).unionByName(same), "similar")
-    left = common.staged(missed(docs, prints.groupBy("whole").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), found, k=k, similarity=similarity, shard_rows=shard_rows), "missed")
-    return found.unionByName(verified(left, left.count() <= 500_000))
+    first = common.staged(reduce(DataFrame.unionByName, [verified(maybe, False), same, *([narrow] if narrow is not None else [])]), "similar")
+    known = common.staged(components(first), "known")
+    left = common.staged(missed(docs, prints.groupBy("whole").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), known, k=k, similarity=similarity, shard_rows=shard_rows), "missed")
+    return known, verified(left, left.count() <= 500_000)
 
 
 # ---------------------------------------------------------------- what the samples miss
@@ -380,8 +412,10 @@ def prefixes(hashes: np.ndarray, row: np.ndarray, sizes: np.ndarray, similarity:
     return hashes[order], row[first], place[first], heat[order]
 
 
-def missed(docs: DataFrame, wanted: DataFrame, links: DataFrame, *, k: int, similarity: float, shard_rows: int) -> DataFrame:
-    """(u, v): pairs that may be similar though ``links`` don't connect them; every such pair is among them.
+def missed(docs: DataFrame, wanted: DataFrame, known: DataFrame, *, k: int, similarity: float, shard_rows: int) -> DataFrame:
+    """(u, v): pairs that may be similar though they are of different components; every such pair is among them.
+
+    wanted: one doc_id of each set of shingles; known: the components (node, component) of the links so far.
 
     Two sets of that similarity share one of their first shingles, in any order
     that is the same for all.  Hot shingles come last in it, so they are among the
@@ -410,8 +444,8 @@ def missed(docs: DataFrame, wanted: DataFrame, links: DataFrame, *, k: int, simi
                 lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (hashes.view(np.int64), place.astype(np.int32), np.maximum(parts, 1).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sizes)), pa.array(sizes.astype(np.int32)), *lists], names=["doc_id", "n", "keys", "places", "parts"])
 
-    known = wanted.join(components(links).select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    rows = docs.mapInArrow(firsts, "doc_id long, n int, keys array<long>, places array<int>, parts array<int>").where("n > 0").join(known, "doc_id")
+    of = wanted.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    rows = docs.mapInArrow(firsts, "doc_id long, n int, keys array<long>, places array<int>, parts array<int>").where("n > 0").join(of, "doc_id")
     lists = common.staged(rows, "prefixes").select("doc_id", "component", "n", F.explode(F.arrays_zip("keys", "places", "parts")).alias("x")).select(
         F.col("x.keys").alias("key"), "doc_id", "component", "n", F.col("x.places").alias("place"), F.col("x.parts").alias("parts")
     )
@@ -467,9 +501,18 @@ def groups(docs: DataFrame, *, k: int = 4, radius: int = 4, similar_k: int = 5,
     Copies are documents whose fingerprints link, as in ``near_duplicates``, and
     those whose shingle sets are similar, as in ``similar_links``.
     """
-    found = near_duplicates(docs, k=k, radius=radius).where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    links = found.unionByName(similar_links(docs, k=similar_k, similarity=similarity))
-    return components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    known, extra = similar_links(docs, k=similar_k, similarity=similarity, radius=radius, narrow_k=k)
+    extra = common.staged(extra, "extra")
+    if extra.isEmpty():
+        return known.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+    def component(column: str) -> DataFrame:
+        return known.select(F.col("node").alias(column), F.col("component").alias(f"of_{column}"))
+
+    between = extra.join(component("u"), "u", "left").join(component("v"), "v", "left").select(F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v"))
+    joined = common.staged(components(between), "joined").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    members = known.select("node", "component").unionByName(joined.select(F.col("component").alias("node"), "component")).distinct()
+    return members.join(joined, "component", "left").select(F.col("node").alias("doc_id"), F.coalesce("whole", "component").alias("component_id")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 4, radius: int = 4) -> DataFrame:
