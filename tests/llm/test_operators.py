@@ -421,16 +421,17 @@ def test_line_dedup(spark):
         own.insert(rng.randrange(4), f"  {notice} ")
         rows.append((i, "\n".join([*own, "short"]), f"s{i % 14}"))
     rows += [(100 + i, f"First line of the copies here.\n{copied}\nLast line of the copies here.", f"s{i}") for i in range(14)]
-    rows += [(200, None, "s1"), (201, "", "s1"), (202, notice, None), (203, notice, "s1"), (203, notice, "s1"), (204, "\n\n", "s2")]
+    rows += [(200, None, "s1"), (201, "", "s1"), (202, notice, None), (203, notice, "s1"), (203, notice, "s1"), (204, "\n\n", "s2"), (None, f"{notice}\nA line of its own without an id.", "s3")]
     rows += [(300 + i, f"Nine sites have this line, too.\n{prose(rng, 8)}", f"s{i}") for i in range(9)]
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, n_removed int")
-    got = {r["doc_id"]: r for r in line_dedup.without_boilerplate(df).collect()}
     assert line_dedup.without_boilerplate(df).columns == ["doc_id", "text", "source", "n_lines", "n_removed"]
-    for i, text, _ in rows:
-        lines = text.split("\n") if text is not None else []
-        kept = [x for x in lines if x.strip(" ") != notice]
-        assert got[i]["n_lines"] == len(lines) and got[i]["n_removed"] == len(lines) - len(kept)
-        assert got[i]["text"] == (None if text is None else "\n".join(kept)), i
+    for listed in (10_000, 0):
+        got = {r["doc_id"]: r for r in line_dedup.without_boilerplate(df, listed=listed).collect()}
+        for i, text, _ in rows:
+            lines = text.split("\n") if text is not None else []
+            kept = [x for x in lines if x.strip(" ") != notice]
+            assert got[i]["n_lines"] == len(lines) and got[i]["n_removed"] == len(lines) - len(kept)
+            assert got[i]["text"] == (None if text is None else "\n".join(kept)), i
     assert line_dedup.without_boilerplate(df).where("doc_id = 203").count() == 2
     assert line_dedup.without_boilerplate(df.limit(0)).collect() == []
 
