@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from sluice.llm import (
@@ -141,6 +142,27 @@ def test_secrets(spark):
     assert secret_scan.scan(empty, secret_scan.train(empty)).collect() == []
 
 
+def test_markov_spans_one_by_one(spark):
+    """The spans of the models, with every run's ratio summed up character by character."""
+    rng = random.Random(6)
+    random_strings = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40)) for _ in range(60)]
+    names = ["_".join(prose(rng, 1) for _ in range(4)) for _ in range(60)]
+    texts = [f"{prose(rng, 40)} {r} {prose(rng, 5)} {n}" for r, n in zip(random_strings, names, strict=True)] + [f"secret: {random_strings[0]}", None]
+    docs = documents(spark, texts)
+    table = secret_scan.train(docs)
+    place, width = {c: i + 1 for i, c in enumerate(secret_scan.ALPHABET)}, len(secret_scan.ALPHABET) + 1
+    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 3} for r in secret_scan.scan(docs, table).collect()}
+    for i, t in enumerate(texts):
+        expected = set()
+        for m in re.finditer(secret_scan.RUN, t or ""):
+            ratio = sum(table[place[a] * width + place[b]] for a, b in itertools.pairwise(m[0]))
+            if ratio > 12.0 and not any(a < m.end() and m.start() < b for a, _, b in base_spans(t)):
+                expected.add((m.start(), m.end()))
+        assert got[i] == expected, i
+    found = [bool(got[i]) for i in range(60)]
+    assert sum(found) >= 57 and all(texts[i][a:b] == random_strings[i] for i in range(60) for a, b in got[i])
+
+
 # ---------------------------------------------------------------- pages
 
 
@@ -163,12 +185,70 @@ def test_main_text():
         html_extraction.main_text(hostile)
 
 
+ARTICLE = "It was the best of times and the worst of times, for all of us in the city by the sea. " * 5
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article class="post comments-open"><p>{ARTICLE}</p></article>',
+        f'<div class="content no-sidebar"><p>{ARTICLE}</p></div>',
+        f'<div class="post has-comments"><p>{ARTICLE}</p></div>',
+        f'<div id="skip-content"><p>{ARTICLE}</p></div>',
+        f'<div><p>{ARTICLE}</p></div><article><a href="/x">Read more of this</a></article>',
+        f'<div class="post"><p>{ARTICLE}</p></div><div class="post-comments"><p>{ARTICLE[:170]}</p></div>',
+        f'<div class="has-sidebar"><div class="entry"><p>{ARTICLE}</p></div><div class="sidebar"><p>{ARTICLE}</p></div></div>',
+        f'<main><p>{ARTICLE}</p></main><section class="related-posts"><p>{ARTICLE}</p></section>',
+    ],
+)
+def test_names_do_not_cost_an_article(page):
+    assert html_extraction.main_text(page) == ARTICLE.strip()
+
+
+def test_a_teaser_does_not_hide_the_story():
+    teaser = "A short teaser of the other story in the paper."
+    text = html_extraction.main_text(f"<div><p>{ARTICLE}</p><p>{ARTICLE}</p></div><article><h3>Next</h3><p>{teaser}</p></article>")
+    assert text.startswith(f"{ARTICLE.strip()}\n{ARTICLE.strip()}")
+
+
+def test_second_pass_one_by_one():
+    """Nearest decided neighbours, looked for block by block."""
+    rng = random.Random(2)
+    for _ in range(500):
+        n = rng.randint(0, 12)
+        labels, inside = [rng.choice((True, False, None, None)) for _ in range(n)], [rng.random() < 0.5 for _ in range(n)]
+        expected = []
+        for i in range(n):
+            near = sorted((abs(i - j), j) for j in range(n) if labels[j] is not None)
+            first = [labels[j] for d, j in near if d == near[0][0]]
+            if labels[i] is not None:
+                expected.append(labels[i])
+            elif not near:
+                expected.append(True)
+            elif all(j < i for _, j in near) or all(j > i for _, j in near):
+                expected.append(first[0] or inside[i])
+            else:
+                expected.append(inside[i] if len(set(first)) == 2 else first[0])
+        assert html_extraction.decided(labels, inside) == expected
+
+
+def test_first_pass():
+    block = html_extraction.Block
+    assert block("the of and in it is", 0, False, False).label(False) is None  # short
+    assert block("the of and in it is " * 3, 0, False, False).label(False) is True
+    assert block("the of and in it is " * 3, 40, False, False).label(True) is False  # links
+    assert block("the of and in it is " * 3, 40, False, True).label(True) is None  # a heading
+    assert block("river stone " * 20, 0, False, False).label(False) is False and block("river stone " * 20, 0, True, False).label(True) is True
+
+
 def test_pages_keep_their_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Hello of the world</p>", 3), (2, None, None, 4), (2, None, None, 4)], "page_id long, url string, html string, n_chars int")
     got = html_extraction.extracted(pages)
     assert got.columns == ["page_id", "url", "html", "n_chars", "text"]
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got.collect()) == [(1, "Hello of the world", 18), (2, "", 0), (2, "", 0)]
     assert html_extraction.extracted(pages.limit(0)).collect() == []
+    clashing = spark.createDataFrame([("x", "old", f"<p>{ARTICLE}</p>", 9)], "label string, text string, html string, doubts int")
+    assert [tuple(r) for r in html_extraction.extracted(clashing).collect()] == [("x", ARTICLE.strip(), f"<p>{ARTICLE}</p>", 9, len(ARTICLE.strip()))]
 
 
 # ---------------------------------------------------------------- quality
@@ -669,6 +749,17 @@ def test_classifier(spark):
     assert all(0 <= s <= 1 for s in got.values()) and len(got) == len(texts)
     apart = [(got[i] >= 0.3) == (i % 2 == 0) for i in range(480) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(apart) / len(apart) > 0.97
+    sizes = []
+    for dictionary in (model.bad, model.good):
+        squeeze = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append([sum(len(squeeze.compress((t or "").encode()[p : p + 512])) for p in range(0, len((t or "").encode()), 512)) for t in texts])
+    for i, t in enumerate(texts):  # the score by its definition
+        bad_size, good_size, n = sizes[0][i], sizes[1][i], len((t or "").encode())
+        d, r, size = (bad_size - good_size) / max(bad_size + good_size, 1), good_size / max(n, 1), math.log1p(n) / 10
+        z = sum(w * x for w, x in zip(model.weights, (1, d, r, size, d * d, r * r, d * r, size * d, size * r), strict=True))
+        assert math.isclose(got[i], 1 / (1 + math.exp(-min(max(z, -30), 30))), rel_tol=1e-6), i
+    few = CompressionClassifier.fit(docs, labels, max_bytes=1000)  # next to nothing to learn from
+    assert all(0 <= r["score"] <= 1 for r in few.score(docs).collect())
     one_class = CompressionClassifier.fit(docs, labels.where("quality = 1"))
     assert {round(r["score"], 6) for r in one_class.score(docs).collect()} == {round(241 / 242, 6)}
     assert {r["score"] for r in CompressionClassifier.fit(docs, labels.limit(0)).score(docs).collect()} == {0.5}
