@@ -35,33 +35,31 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _tasks(args: argparse.Namespace, pipeline: Pipeline) -> int:
-    from sluice.audit import StageRun
+    from sluice.audit import Entry
     from sluice.extract import run_extract
     from sluice.layout import Settings
-    from sluice.runner import run_pipeline, run_report
-    from sluice.runner import reset as forget
+    from sluice.runner import reset, run_pipeline, run_report
     from sluice.session import session
     from sluice.streaming.validate import run_validate
 
     spark, settings = session(f"sluice {pipeline.name}"), Settings.from_env()
-    runs: list[StageRun] = []
+    entries: list[Entry] = []
     if args.command == "reset":
-        for path in forget(spark, pipeline, args.table, settings):
+        for path in reset(spark, pipeline, args.table, settings):
             print(f"deleted {path}")
-        return 0
-    if args.command == "report":
-        runs = [run_report(spark, pipeline, args.run_id, settings)]
+    elif args.command == "report":
+        entries.append(run_report(spark, pipeline, args.run_id, settings))
     elif args.table:
-        spec = pipeline.table(args.table)
+        feed = pipeline.feeds[args.table]
         if args.stage != graph.VALIDATE:
-            runs.append(run_extract(spark, pipeline, spec, args.run_id, settings))
-        if args.stage != graph.EXTRACT and all(r.succeeded for r in runs):
-            runs += run_validate(spark, pipeline, spec, args.run_id, settings, threshold=args.threshold)
+            entries.append(run_extract(spark, pipeline, feed, args.run_id, settings))
+        if args.stage != graph.EXTRACT and all(e.healthy for e in entries):
+            entries += run_validate(spark, pipeline, feed, args.run_id, settings, threshold=args.threshold)
     else:
-        runs = [r for x in run_pipeline(spark, pipeline, args.run_id, settings, threshold=args.threshold).results for r in x.runs]
-    for run in runs:
-        print(run.summary())
-    return int(not all(r.succeeded for r in runs))
+        entries += [e for done in run_pipeline(spark, pipeline, args.run_id, settings, threshold=args.threshold).values() for e in done.entries]
+    for entry in entries:
+        print(entry.line())
+    return 0 if all(e.healthy for e in entries) else 1
 
 
 def main(argv: Sequence[str] | None = None) -> int:
@@ -70,18 +68,18 @@ def main(argv: Sequence[str] | None = None) -> int:
         found = load_all(args.pipelines)
         if args.command == "validate-metadata":
             for p in found.values():
-                print(f"{p.name}: {len(p.tables)} table(s), {sum(len(t.rules) for t in p.tables)} rule(s)")
+                print(f"{p.name}: {len(p.feeds)} table(s), {sum(len(f.rules) for f in p.feeds.values())} rule(s)")
             return 0
         if args.pipeline not in found:
             print(f"no pipeline '{args.pipeline}', only {', '.join(found)}", file=sys.stderr)
             return 2
         pipeline = found[args.pipeline]
         if args.command == "plan":
-            for task in graph.plan(pipeline).ordered():
-                print(f"{task.id} <- {', '.join(task.upstream) or '-'}\n    {graph.command(pipeline.name, task, '$RUN_ID')}")
+            for name, task in graph.schedule(pipeline).items():
+                print(f"{name} <- {', '.join(task['after']) or '-'}\n    {task['command']}")
             return 0
-        if getattr(args, "table", None) and args.table not in pipeline.table_names:
-            print(f"no table '{args.table}', only {', '.join(pipeline.table_names)}", file=sys.stderr)
+        if getattr(args, "table", None) and args.table not in pipeline.feeds:
+            print(f"no table '{args.table}', only {', '.join(pipeline.feeds)}", file=sys.stderr)
             return 2
         if args.command == "reset" and not args.yes:
             print("reset deletes silver, quarantine and the checkpoint of the table; add --yes", file=sys.stderr)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.operators.quality import REFUSED
+
 HEALTHY = ("SUCCEEDED", "NO_DATA")
 OUTCOMES = ("succeeded", "no_data", "failed", "not_run")
 
@@ -34,7 +36,7 @@ def histogram(found: DataFrame, column: str = "outcome") -> DataFrame:
 
 def rule_totals(audit: DataFrame) -> DataFrame:
     """rule, failures over all runs that judged a batch: those that succeeded, or that the gate stopped."""
-    judged = (F.col("stage") == "validate") & ((F.col("status") == "SUCCEEDED") | F.col("error").startswith("Quality gate"))
+    judged = (F.col("stage") == "validate") & ((F.col("status") == "SUCCEEDED") | F.col("error").startswith(REFUSED))
     counts = audit.where(judged).select(F.explode(F.from_json("rule_failures", "map<string,bigint>")).alias("rule", "failures"))
     return counts.groupBy("rule").agg(F.sum("failures").alias("failures"))
 

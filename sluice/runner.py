@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import time
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from sluice import audit
-from sluice.audit import FAILED, SUCCEEDED, StageRun
-from sluice.extract import Source, finish, run_extract
+from sluice import audit, metrics
+from sluice.audit import FAILED, SUCCEEDED, Entry
+from sluice.extract import Source, journal, run_extract
 from sluice.layout import Settings
-from sluice.metrics import of_pipeline, push
 from sluice.operators import reports
 from sluice.plans import graph
 from sluice.plans.spec import Pipeline
@@ -29,40 +27,35 @@ class UnhealthyRun(RuntimeError):
 
 
 @dataclass
-class TaskResult:
-    task: graph.Task
+class Done:
+    """What became of a task; one that had to wait for a failed one has no entries."""
+
     state: str
-    runs: list[StageRun] = field(default_factory=list)
+    entries: list[Entry] = field(default_factory=list)
 
     @property
     def error(self) -> str | None:
-        return next((r.error for r in self.runs if r.error), None)
-
+        return next((e["error"] for e in self.entries if e["error"]), None)
 
-@dataclass
-class PipelineRun:
-    run_id: str
-    results: list[TaskResult]
 
-    @property
-    def state(self) -> str:
-        return FAILED if any(r.state != SUCCEEDED for r in self.results) else SUCCEEDED
+def outcome(results: dict[str, Done]) -> str:
+    return SUCCEEDED if all(d.state == SUCCEEDED for d in results.values()) else FAILED
 
-    def result(self, task_id: str) -> TaskResult:
-        return next(r for r in self.results if r.task.id == task_id)
 
-
-def run_report(spark: SparkSession, pipeline: Pipeline, run_id: str, settings: Settings) -> StageRun:
-    """A record of how each table fared; FAILED if one failed or was not run."""
-    run = StageRun(run_id, pipeline.name, "*", graph.REPORT)
-    tables = spark.createDataFrame([(t,) for t in pipeline.table_names], "table_name string")
-    own = audit.records(spark, settings.lake.audit, run_id).where(f"pipeline = '{pipeline.name}' and stage <> '{graph.REPORT}'")
-    found = {r["table_name"]: r["outcome"] for r in reports.outcomes(own, tables).collect()}  # a row for each table
-    counts = Counter(found.values())
-    bad = sorted(t for t, o in found.items() if o in ("failed", "not_run"))
-    run.note = ", ".join(f"{found[t]}: {t}" for t in pipeline.table_names)
-    push(of_pipeline(pipeline.name, not bad, counts, time.time()), settings.gateway, pipeline=pipeline.name)
-    return finish(spark, settings, run, FAILED if bad else SUCCEEDED, UnhealthyRun(f"unhealthy tables: {', '.join(f'{t} ({found[t]})' for t in bad)}") if bad else None)
+def run_report(spark: SparkSession, pipeline: Pipeline, run_id: str, settings: Settings) -> Entry:
+    """How each table fared; the report fails if one failed or was not run."""
+    tables = spark.createDataFrame([(t,) for t in pipeline.feeds], "table_name string")
+    runs = audit.records(spark, settings.lake.audit, run_id).where((F.col("pipeline") == pipeline.name) & (F.col("stage") != graph.REPORT))
+    with journal(spark, settings, run_id, pipeline).stage("*", graph.REPORT) as entry:
+        outcomes = reports.outcomes(runs, tables).withColumn("pipeline", F.lit(pipeline.name))
+        found = {r["table_name"]: r["outcome"] for r in outcomes.collect()}  # a row for each table
+        entry.note("; ".join(f"{t} {found[t]}" for t in pipeline.feeds))
+        if bad := [t for t in pipeline.feeds if found[t] in ("failed", "not_run")]:
+            raise UnhealthyRun(f"not healthy: {', '.join(f'{t} ({found[t]})' for t in bad)}")
+    if settings.gateway:
+        counts = outcomes.groupBy("pipeline", "outcome").agg(F.count(F.lit(1)).alias("n"))
+        metrics.push(metrics.text(metrics.of_pipelines(audit.as_rows(spark, [entry]), counts)), settings.gateway, pipeline=pipeline.name)
+    return entry
 
 
 def run_pipeline(
@@ -75,23 +68,27 @@ def run_pipeline(
     as_of: datetime | None = None,
     threshold: float | None = None,
     crash: Callable[[str, str], None] = lambda task, point: None,
-) -> PipelineRun:
-    """All tasks in order; one whose upstream did not succeed is not run, the report always is."""
-    results: dict[str, TaskResult] = {}
-    for task in graph.plan(pipeline).ordered():
-        if task.stage == graph.REPORT:
-            runs = [run_report(spark, pipeline, run_id, settings)]
-        elif any(results[u].state != SUCCEEDED for u in task.upstream):
-            results[task.id] = TaskResult(task, UPSTREAM_FAILED)
-            continue
+) -> dict[str, Done]:
+    """What became of every task, in order; one that waits for a task that did not succeed is left out, the report never is."""
+    waits, results = graph.plan(pipeline), {}
+
+    def entries(name: str) -> Iterator[Entry]:
+        table, stage = graph.parts(name)
+        here = lambda point: crash(name, point)
+        if stage == graph.REPORT:
+            yield run_report(spark, pipeline, run_id, settings)
+        elif stage == graph.EXTRACT:
+            yield run_extract(spark, pipeline, pipeline.feeds[table], run_id, settings, source, here)
+        else:
+            yield from run_validate(spark, pipeline, pipeline.feeds[table], run_id, settings, as_of, threshold, here)
+
+    for name in graph.ordered(waits):
+        if name != graph.FINAL and any(results[other].state != SUCCEEDED for other in waits[name]):
+            results[name] = Done(UPSTREAM_FAILED)
         else:
-            spec, here = pipeline.table(task.table), lambda point, t=task.id: crash(t, point)
-            if task.stage == graph.EXTRACT:
-                runs = [run_extract(spark, pipeline, spec, run_id, settings, source, here)]
-            else:
-                runs = run_validate(spark, pipeline, spec, run_id, settings, as_of, threshold, here)
-        results[task.id] = TaskResult(task, SUCCEEDED if all(r.succeeded for r in runs) else FAILED, runs)
-    return PipelineRun(run_id, [*results.values()])
+            own = [*entries(name)]
+            results[name] = Done(SUCCEEDED if all(e.healthy for e in own) else FAILED, own)
+    return results
 
 
 def reset(spark: SparkSession, pipeline: Pipeline, table: str, settings: Settings) -> list[str]:

@@ -23,6 +23,12 @@ class Files:
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def age(self, path: str) -> float:
+        """Seconds since something was last written in a folder; parts that are being written count."""
+        fs, p = self._at(path)
+        newest = max([fs.getFileStatus(p).getModificationTime(), *(s.getModificationTime() for s in fs.listStatus(p))])
+        return self.jvm.java.lang.System.currentTimeMillis() / 1000 - newest / 1000
+
     def read(self, path: str) -> str:
         fs, p = self._at(path)
         stream = fs.open(p)

@@ -134,12 +134,16 @@ def messages_from_files(spark: SparkSession, path: str, *, per_trigger: int | No
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
 
 
-def messages_from_kafka(spark: SparkSession, servers: str, topics: str, *, per_trigger: int | None = None) -> DataFrame:
-    """A stream of the topics that match a pattern; needs Spark's Kafka connector on the class path."""
+def kafka_options(servers: str, topics: str, per_trigger: int | None = None) -> dict[str, str]:
+    """All topics that match a pattern, from their beginning; a gap in the offsets is an error."""
     options = {"kafka.bootstrap.servers": servers, "subscribePattern": topics, "startingOffsets": "earliest", "failOnDataLoss": "true"}
-    if per_trigger:
-        options["maxOffsetsPerTrigger"] = str(per_trigger)
-    return spark.readStream.format("kafka").options(**options).load()
+    return options | ({"maxOffsetsPerTrigger": str(per_trigger)} if per_trigger else {})
+
+
+def messages_from_kafka(spark: SparkSession, servers: str, topics: str, *, per_trigger: int | None = None, connector: str = "kafka") -> DataFrame:
+    """A stream of messages as ``messages_from_files`` has them; needs Spark's Kafka connector on the class path."""
+    found = spark.readStream.format(connector).options(**kafka_options(servers, topics, per_trigger)).load()
+    return found.select("topic", "partition", "offset", "timestamp", F.col("value").cast("string").alias("value"))
 
 
 def replicate(

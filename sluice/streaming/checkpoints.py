@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.sources.files import Files
@@ -25,6 +27,15 @@ def pending(spark: SparkSession, checkpoint: str) -> int | None:
     return last if last is not None and last not in committed(spark, checkpoint) else None
 
 
+def last_end(spark: SparkSession, checkpoint: str) -> int | None:
+    """Where the last committed batch ended in its source's log; None before the first."""
+    done = committed(spark, checkpoint)
+    if not done:
+        return None
+    told = Files(spark).read(f"{checkpoint}/offsets/{max(done)}").splitlines()[-1]
+    return json.loads(told)["logOffset"]
+
+
 def batches(spark: SparkSession, checkpoint: str) -> DataFrame:
     """batch_id, committed."""
     done = committed(spark, checkpoint)

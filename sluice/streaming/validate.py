@@ -15,14 +15,14 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.audit import FAILED, NO_DATA, SUCCEEDED, StageRun, now
-from sluice.extract import finish
+from sluice.audit import FAILED, Entry, now
+from sluice.extract import journal
 from sluice.layout import Settings, application
 from sluice.operators import quality
 from sluice.operators.changes import action_counts, upserted
 from sluice.operators.latest import latest
 from sluice.plans import drift
-from sluice.plans.spec import Pipeline, TableSpec
+from sluice.plans.spec import Feed, Pipeline
 from sluice.sources.drops import Drops
 from sluice.sources.files import Files
 from sluice.sources.lake import Table
@@ -47,74 +47,68 @@ def silver_keys(spark: SparkSession, settings: Settings, pipeline: str) -> Calla
     return keys
 
 
-def merge_silver(spark: SparkSession, rows: DataFrame, spec: TableSpec, path: str, run: StageRun) -> None:
+def merge_silver(spark: SparkSession, rows: DataFrame, feed: Feed, path: str, entry: Entry) -> None:
     """Newer rows replace older ones of their key; only the partitions that occur in ``rows`` are read and rewritten."""
-    table, part = Table(spark, path), spec.partition_by
-    note = {"run_id": run.run_id, "batch_id": run.batch_id}
-    values = [r[0] for r in rows.select(part).distinct().limit(MOST_PARTITIONS + 1).collect()] if part else []
-    run.partitions_touched = sorted(map(str, values)) if len(values) <= MOST_PARTITIONS else []
+    table, note = Table(spark, path), {"run_id": entry["run_id"], "batch_id": entry["batch_id"]}
+    values = table.values_in(rows, feed.partition, MOST_PARTITIONS) if feed.partition else None
+    entry.note(partitions_touched=sorted(map(str, values or ())))
     base = table.snapshot()
     if base.schema is None:
-        table.append(rows, partition_by=part, note=note)
-        run.rows_written, run.table_version = table.last_metrics()["rows"], table.version
+        table.append(rows, partition_by=feed.partition, note=note)
+        entry.note(rows_written=table.last_metrics()["rows"], table_version=table.version)
         return
-    run.schema_changes = [str(c) for c in drift.changes(table.schema_types(), drift.types(rows)) if c.kind == "added"]
-    units = table.touched(base, values if part and values and len(values) <= MOST_PARTITIONS else None)
-    target = table.frame(base, units=units)
-    merged = upserted(target, rows, spec.primary_key, spec.watermark_column)
+    entry.note(schema_changes=[str(d) for d in drift.between(table.schema_types(), drift.types(rows)) if d.kind == "added"])
+    units = table.touched(base, values)
+    merged = upserted(table.frame(base, units=units), rows, feed.key, feed.mark)
     done = table.rewrite(base, units, merged, note=note, counts=action_counts(), leave_out=["_action"], worth=lambda m: m["inserted"] + m["updated"] > 0)
-    if done["inserted"] + done["updated"]:
-        run.rows_written, run.files_rewritten = done["inserted"] + done["updated"], len(units)
-        run.note = f"merge +{done['inserted']} ~{done['updated']}, {len(units)} unit(s) rewritten in {len(run.partitions_touched) or 'all'} partition(s)"
-    run.table_version = table.version
+    if changed := done["inserted"] + done["updated"]:
+        entry.note(f"{done['inserted']} new and {done['updated']} newer rows merged, {len(units)} unit(s) rewritten", rows_written=changed, files_rewritten=len(units))
+    entry.note(table_version=table.version)
+
+
+def quarantined(rows: DataFrame, business: list[str], entry: Entry) -> DataFrame:
+    """The invalid rows as the quarantine stores them."""
+    stamps = {"_validate_run_id": F.lit(entry["run_id"]), "_batch_id": F.lit(entry["batch_id"]).cast("long"), "_quarantined_at": F.current_timestamp()}
+    return rows.where(quality.has_errors()).withColumns(stamps).select(*business, *drift.QUARANTINE)
 
 
 def process(
     spark: SparkSession,
     batch: DataFrame,
-    run: StageRun,
-    spec: TableSpec,
+    entry: Entry,
+    feed: Feed,
     settings: Settings,
-    pipeline: str,
     as_of: datetime,
     threshold: float | None = None,
     crash: Callable[[str], None] = lambda point: None,
 ) -> None:
-    """Judge a batch and store what became of its rows."""
-    lake, rules = settings.lake, spec.rules
-    checked = quality.judged(batch, rules, as_of, silver_keys(spark, settings, pipeline)).persist()
+    """Judge a batch and store what became of its rows; what happened is noted in ``entry``."""
+    pipeline, lake = entry["pipeline"], settings.lake
+    quarantine, silver = Table(spark, lake.quarantine(pipeline, feed.name)), lake.silver(pipeline, feed.name)
+    checked = quality.judged(batch, feed.rules, as_of, silver_keys(spark, settings, pipeline)).persist()
     try:
-        totals = quality.totals(checked, rules).first()
-        run.rows_read, run.rows_quarantined, run.rows_warned = totals["rows"], totals["quarantined"], totals["warned"]
-        if not run.rows_read:
-            run.note = "empty micro-batch"
+        found = quality.totals(checked, feed.rules, feed.policy, threshold).first()
+        entry.note(rows_read=found["rows"], rows_quarantined=found["quarantined"], rows_warned=found["warned"], rule_failures={r: n for r, n in found["failures"].items() if n})
+        if not found["rows"]:
+            entry.note("the batch is empty")
             return
-        run.rule_failures = {r.name: totals[r.name] for r in rules if totals[r.name]}
-        rows = quality.without_flags(checked, rules)
+        rows = quality.without_flags(checked, feed.rules)
         business = [c for c in batch.columns if c not in drift.TECHNICAL]
-        quarantine = Table(spark, lake.quarantine(pipeline, spec.name))
-        if run.rows_quarantined:
-            rejected = rows.where(quality.has_errors()).select(
-                *business,
-                *drift.QUARANTINE[:5],
-                F.lit(run.run_id).alias("_validate_run_id"),
-                F.lit(run.batch_id).cast("long").alias("_batch_id"),
-                F.current_timestamp().alias("_quarantined_at"),
-            )
-            known = (application(pipeline, spec.name, "quarantine"), run.batch_id)
-            if not quarantine.append(rejected, transaction=known, note={"run_id": run.run_id, "batch_id": run.batch_id}):
-                run.note = f"quarantine already holds batch {run.batch_id}: append skipped"
-        run.quarantine_version = quarantine.version
-        quality.gate(spec, run.rows_read, run.rows_quarantined, threshold)
-        silver = lake.silver(pipeline, spec.name)
-        if run.rows_read > run.rows_quarantined:
-            valid = latest(rows.where(~quality.has_errors()), spec.primary_key, [spec.watermark_column, "_extract_seq"]).select(*business, *drift.SILVER).persist()
+        if found["quarantined"]:
+            once = (application(pipeline, feed.name, "quarantine"), entry["batch_id"])
+            if not quarantine.append(quarantined(rows, business, entry), transaction=once, note={"run_id": entry["run_id"], "batch_id": entry["batch_id"]}):
+                entry.note(f"quarantine has batch {entry['batch_id']} already, nothing added")
+        entry.note(quarantine_version=quarantine.version)
+        if found["tripped"]:
+            raise quality.refusal(feed.name, found["rows"], found["quarantined"], feed.policy.quarantine_threshold if threshold is None else threshold)
+        if found["rows"] > found["quarantined"]:
+            valid = latest(rows.where(~quality.has_errors()), feed.key, [feed.mark, "_extract_seq"]).select(*business, *drift.SILVER).persist()
             try:
-                merge_silver(spark, valid, spec, silver, run)
+                merge_silver(spark, valid, feed, silver, entry)
             finally:
                 valid.unpersist()
         else:
-            run.table_version = Table(spark, silver).version
+            entry.note(table_version=Table(spark, silver).version)
         crash("silver merged")
     finally:
         checked.unpersist()
@@ -123,43 +117,42 @@ def process(
 def run_validate(
     spark: SparkSession,
     pipeline: Pipeline,
-    spec: TableSpec,
+    feed: Feed,
     run_id: str,
     settings: Settings,
     as_of: datetime | None = None,
     threshold: float | None = None,
     crash: Callable[[str], None] = lambda point: None,
-) -> list[StageRun]:
-    """All deliveries that have come since the last run; a record for each micro-batch."""
-    p, t, lake = pipeline.name, spec.name, settings.lake
-    bronze, checkpoint = Drops(spark, lake.bronze(p, t)), lake.checkpoint(p, t, "validate")
+) -> list[Entry]:
+    """All deliveries that have come since the last run; an entry for each micro-batch."""
+    lake, entries = settings.lake, []
+    bronze, checkpoint = Drops(spark, lake.bronze(pipeline.name, feed.name)), lake.checkpoint(pipeline.name, feed.name, "validate")
+    log = journal(spark, settings, run_id, pipeline)
     if not bronze.exists:
-        return [finish(spark, settings, StageRun(run_id, p, t, "validate", note="bronze table does not exist yet"), NO_DATA)]
+        with log.stage(feed.name, "validate") as entry:
+            entry.idle("nothing was extracted yet")
+        return [entry]
     replayed = checkpoints.pending(spark, checkpoint)
-    runs: list[StageRun] = []
 
     def each(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession  # the stream's session, not the one that started it
-        run = StageRun(run_id, p, t, "validate", batch_id=int(batch_id), recovered=batch_id == replayed)
-        runs.append(run)
-        frame = batch.persist()
-        try:
-            process(own, frame, run, spec, settings, p, judged_as_of(own, checkpoint, run.batch_id, as_of), threshold, crash)
-        except Exception as fault:
-            finish(own, settings, run, FAILED, fault, spec.severities, {"silver": Table(own, lake.silver(p, t)).version, "quarantine": run.quarantine_version})
-            raise
-        finally:
-            frame.unpersist()
-        finish(own, settings, run, SUCCEEDED, None, spec.severities, {"silver": run.table_version, "quarantine": run.quarantine_version})
-
-    query = bronze.stream().writeStream.queryName(f"sluice.{p}.{t}.validate.{run_id}").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        with journal(own, settings, run_id, pipeline).stage(feed.name, "validate", passes=True, batch_id=int(batch_id), recovered=batch_id == replayed) as entry:
+            entries.append(entry)
+            frame = batch.persist()
+            try:
+                process(own, frame, entry, feed, settings, judged_as_of(own, checkpoint, int(batch_id), as_of), threshold, crash)
+            finally:
+                frame.unpersist()
+
+    query = bronze.stream().writeStream.queryName(f"sluice.{pipeline.name}.{feed.name}.validate.{run_id}").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
-    except Exception as fault:
-        if not any(r.status == FAILED for r in runs):
-            runs.append(finish(spark, settings, StageRun(run_id, p, t, "validate"), FAILED, fault))
-    if not runs:
-        run = StageRun(run_id, p, t, "validate", note="no new bronze deliveries", table_version=Table(spark, lake.silver(p, t)).version)
-        runs.append(finish(spark, settings, run, NO_DATA))
-    return runs
-
+    except Exception:
+        if not any(e["status"] == FAILED for e in entries):  # the stream itself
+            with log.stage(feed.name, "validate") as entry:
+                entries.append(entry)
+                raise
+    if not entries:
+        with log.stage(feed.name, "validate") as entry:
+            entries.append(entry.idle("no new deliveries", table_version=Table(spark, lake.silver(pipeline.name, feed.name)).version))
+    return entries

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from sluice import catalogue
+from sluice import catalogue, catalogue_runs  # noqa: F401
 from sluice.__main__ import main
 
 DATA = Path("/root/testdata/sf0.001")

@@ -2,9 +2,11 @@
 
 import json
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from sluice.functions import envelope
 from sluice.operators import changes
@@ -121,3 +123,57 @@ def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     cdc.merge(spark, path, target, spark.createDataFrame([(5, "b", "u", 200)], LOG))
     after = Table(spark, path).snapshot().units
     assert len(set(before) - set(after)) == 1 and cdc.current(spark, path).count() == 100
+
+
+def topics():
+    """Stands in for the Kafka connector; made in a function, so that it travels to the reader's process as it is."""
+
+    class Topics(DataSource):
+        """Its columns, its options, a few messages."""
+
+        @classmethod
+        def name(cls):
+            return "topics"
+
+        def schema(self):
+            return "key binary, value binary, topic string, partition int, offset long, timestamp timestamp, timestampType int"
+
+        def simpleStreamReader(self, schema):
+            return TopicsReader(self.options)
+
+    class TopicsReader(SimpleDataSourceStreamReader):
+        def __init__(self, options):
+            assert (options["subscribePattern"], options["startingOffsets"], options["failOnDataLoss"]) == ("app[.].*", "earliest", "true")
+
+        def initialOffset(self):
+            return {"n": 0}
+
+        def read(self, start):
+            return self.readBetweenOffsets(start, {"n": 3}), {"n": 3}
+
+        def readBetweenOffsets(self, start, end):
+            def message(n):
+                value = json.dumps({"before": None, "after": {"customer_id": str(n % 2), "name": f"v{n}"}, "source": {"table": "customers"}, "op": "u", "ts_ms": n})
+                return (b"", value.encode(), "app.shop.customers", 0, n, datetime(2026, 1, 1), 0)
+
+            return iter([message(n) for n in range(start["n"], end["n"])])
+
+        def commit(self, end):
+            pass
+
+    return Topics
+
+
+def test_a_connector_and_the_default_trigger(spark, tmp_path):
+    """Messages of a connector are replicated by a stream that goes on."""
+    spark.dataSource.register(topics())
+    messages = cdc.messages_from_kafka(spark, "host:9092", "app[.].*", connector="topics")
+    assert messages.columns == ["topic", "partition", "offset", "timestamp", "value"]
+    stream = cdc.replicate(messages, str(tmp_path / "tables"), TARGETS, str(tmp_path / "checkpoint"))
+    try:
+        stream.processAllAvailable()
+        assert stream.isActive
+    finally:
+        stream.stop()
+    assert sorted((r["customer_id"], r["name"]) for r in cdc.current(spark, str(tmp_path / "tables/customers")).collect()) == [(0, "v2"), (1, "v1")]
+    assert cdc.kafka_options("h:1", "x", 5)["maxOffsetsPerTrigger"] == "5" and "maxOffsetsPerTrigger" not in cdc.kafka_options("h:1", "x")

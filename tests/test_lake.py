@@ -1,4 +1,6 @@
 import threading
+from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,9 +51,10 @@ def test_partitions_are_picked_from_the_log(spark, tmp_path):
     t.rewrite(base, units, new.drop("_action"))
     assert rows(t.read(), "id") == [(0,), (1,), (2,), (3,), (4,), (9,)]
     assert len([u for u in base.units if u in t.snapshot().units]) == 4
-    assert t.vacuum(keep=1) == 0
+    assert t.vacuum(keep=1, older_than=0) == 0
     t.overwrite(spark.createDataFrame([(0, "z")], "id int, p string"))
-    assert t.vacuum(keep=1) == 2 and rows(t.read(), "id") == [(0,)]
+    assert t.vacuum(keep=1) == 0  # too young
+    assert t.vacuum(keep=1, older_than=0) == 2 and rows(t.read(), "id") == [(0,)]
 
 
 def test_a_lost_race_is_a_conflict_and_append_retries(spark, tmp_path):
@@ -101,3 +104,45 @@ def test_unpublished_deliveries_are_not_seen(spark, tmp_path):
     q = d.stream().writeStream.foreachBatch(lambda b, i: seen.append(b.count())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert seen == [3]
+
+
+def test_partition_values_of_any_type(spark, tmp_path):
+    """Units are found by the partition's value whatever its type, so that a merge leaves no second version of a key."""
+    for kind, values in {
+        "boolean": (True, False, None),
+        "double": (1e10, 0.1, float("nan")),
+        "timestamp": (datetime(2024, 1, 1, 2, 3, 4, 500_000), datetime(1999, 12, 31), None),
+        "decimal(10,2)": (Decimal("1.10"), Decimal("-3.00"), None),
+        "date": (date(2024, 2, 29), date(1969, 12, 31), None),
+        "bigint": (1 << 60, -1, 0),
+    }.items():
+        t = Table(spark, str(tmp_path / kind))
+        schema = f"id int, part {kind}, w int"
+        t.append(spark.createDataFrame([(i, v, 1) for i, v in enumerate(values)], schema), partition_by="part")
+        batch = spark.createDataFrame([(0, values[0], 2), (9, values[2], 1)], schema)
+        base = t.snapshot()
+        units = t.touched(base, t.values_in(batch, "part", 10))
+        assert len(units) == 2, kind
+        t.rewrite(base, units, upserted(t.frame(base, units=units), batch, ["id"], "w"), leave_out=["_action"])
+        assert sorted((r["id"], r["w"]) for r in t.read().collect()) == [(0, 2), (1, 1), (2, 1), (9, 1)], kind
+        assert [r["id"] for r in t.read(partitions=[values[1]]).collect()] == [1], kind
+        assert t.values_in(batch, "part", 1) is None
+
+
+def test_a_late_writer_publishes_what_it_has_stored(spark, tmp_path, monkeypatch):
+    t = Table(spark, str(tmp_path / "t"))
+    t.append(spark.range(1).select(F.col("id").cast("int")))
+    publish, lost, stored = Files.publish, [], []
+    store = Table._stored
+
+    def once(self, path, text):
+        if not lost:
+            lost.append(path)
+            Table(spark, str(tmp_path / "t")).append(spark.range(5, 6).select(F.col("id").cast("int")))
+        return publish(self, path, text)
+
+    monkeypatch.setattr(Table, "_stored", lambda self, *a: (stored.append(1), store(self, *a))[1])
+    monkeypatch.setattr(Files, "publish", once)
+    assert t.append(spark.range(7, 8).select(F.col("id").cast("int")))
+    assert len(stored) == 2 and t.version == 2 and sorted(r["id"] for r in t.read().collect()) == [0, 5, 7]
+    assert len(t.files.names(f"{t.path}/data")) == 3
