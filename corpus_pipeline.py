@@ -34,14 +34,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies: within 4 bits, or with 0.8 of their five-word shingles in common."""
+    """The document of least id of each group of near copies: within 4 bits, or with 0.8 of their five-word shingles in common.
+
+    Rows that repeat an id go or stay together, by any of their texts.
+    """
     common.small_batches(spark)
     copies = simhash.groups(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows that repeat an id go if one of their texts holds one."""
     common.small_batches(spark)
     return decontamination.clean(docs, common.table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
