@@ -6,8 +6,13 @@ sketches: counts by buckets of a sixteenth of an octave, which add up, so that
 the sketches of a language and source, of a language, and of the whole table
 come from the same counts.  A group of fewer than ``min_group`` documents
 borrows the sketch of its language, and that of the table if the language is
-small as well.  A rate's limits are its quartiles plus ``spread`` times the
-distance from the median, plus a slack; documents outside fail the rule.
+small as well.  A rate's limits are an upper and a lower quantile plus
+``spread`` times the distance from the median, plus a slack; documents outside
+fail the rule.  The lower quantile is the first quartile.  The upper one is the
+third quartile where a bad share of a group, of up to a quarter of it, must not
+move the limit (word length, symbols), and the 95th percentile for rates that
+are zero in most documents (repeated lines and words), whose third quartile
+tells nothing about the group.
 
 The base rules (too few words; too many repeated words) are fixed and hold
 beside the adaptive ones; documents that fail them stay out of the sketches.
@@ -32,12 +37,12 @@ from sluice.llm import common
 from sluice.llm.native import let
 
 SYMBOLS = "[#*$%&|<>]"
-#: rate -> (numerator, denominator, slack)
+#: rate -> (numerator, denominator, slack, percent of the upper quantile)
 RATES = {
-    "word_length": ("word_chars", "n_words", 1000),
-    "symbol_rate": ("n_symbols", "n_words", 100),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 300),
-    "repeat_rate": ("n_repeat_words", "n_words", 300),
+    "word_length": ("word_chars", "n_words", 1000, 75),
+    "symbol_rate": ("n_symbols", "n_words", 100, 75),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 200, 95),
+    "repeat_rate": ("n_repeat_words", "n_words", 100, 95),
 }
 
 
@@ -95,13 +100,15 @@ def limits(sketch: DataFrame, *, min_group: int, spread: int) -> DataFrame:
     """level, lang, source, rate, low, high of the groups with ``min_group`` documents."""
     group = ["level", "lang", "source", "rate"]
     running = sketch.withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("bucket"))).withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
-    quartile = {k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket"))).alias(f"q{k}") for k in (1, 2, 3)}
-    slack = F.create_map(*(F.lit(x) for name, (_, _, s) in RATES.items() for x in (name, s)))[F.col("rate")]
+    slack = F.create_map(*(F.lit(x) for name, (_, _, s, _) in RATES.items() for x in (name, s)))[F.col("rate")]
+    upper = F.create_map(*(F.lit(x) for name, (_, _, _, u) in RATES.items() for x in (name, u)))[F.col("rate")]
+    percent = {"lower": F.lit(25), "median": F.lit(50), "upper": upper}
+    quantile = [F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("bucket"))).alias(name) for name, p in percent.items()]
     return (
         running.groupBy(*group)
-        .agg(F.max("total").alias("total"), *quartile.values())
+        .agg(F.max("total").alias("total"), *quantile)
         .where(F.col("total") >= F.when(F.col("level") == 2, 0).otherwise(min_group))
-        .select(*group, (F.col("q1") - spread * (F.col("q2") - F.col("q1")) - slack).alias("low"), (F.col("q3") + spread * (F.col("q3") - F.col("q2")) + slack).alias("high"))
+        .select(*group, (F.col("lower") - spread * (F.col("median") - F.col("lower")) - slack).alias("low"), (F.col("upper") + spread * (F.col("upper") - F.col("median")) + slack).alias("high"))
     )
 
 
@@ -109,7 +116,7 @@ def judged(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50
     """The counts of every document, base_failed, failed (names of the adaptive rules) and kept."""
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     counts = common.staged(measured(docs), "measured").withColumn("base_failed", base_failed)
-    for name, (part, whole, _) in RATES.items():
+    for name, (part, whole, _, _) in RATES.items():
         counts = counts.withColumn(name, F.floor(1000 * F.col(part) / F.greatest(F.col(whole), F.lit(1))).cast("long"))
     rates = counts.where("not base_failed").select(
         "lang", "source", F.explode(F.array(*(F.struct(F.lit(n).alias("rate"), F.col(n).alias("value")) for n in RATES))).alias("r")
@@ -153,24 +160,24 @@ WITH d AS (
 ), f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 ), x AS (
-  SELECT doc_id, lang, source, base_failed, u.rate, u.slack, u.num * 1000 // greatest(u.den, 1) AS value
+  SELECT doc_id, lang, source, base_failed, u.rate, u.slack, u.pct, u.num * 1000 // greatest(u.den, 1) AS value
   FROM (SELECT *, unnest([
-    {'rate': 'word_length', 'slack': 1000, 'num': word_chars, 'den': n_words}, {'rate': 'symbol_rate', 'slack': 100, 'num': n_symbols, 'den': n_words},
-    {'rate': 'dup_line_rate', 'slack': 300, 'num': n_dup_lines, 'den': n_lines}, {'rate': 'repeat_rate', 'slack': 300, 'num': n_repeat_words, 'den': n_words}]) AS u FROM f)
+    {'rate': 'word_length', 'slack': 1000, 'pct': 75, 'num': word_chars, 'den': n_words}, {'rate': 'symbol_rate', 'slack': 100, 'pct': 75, 'num': n_symbols, 'den': n_words},
+    {'rate': 'dup_line_rate', 'slack': 200, 'pct': 95, 'num': n_dup_lines, 'den': n_lines}, {'rate': 'repeat_rate', 'slack': 100, 'pct': 95, 'num': n_repeat_words, 'den': n_words}]) AS u FROM f)
 ), c AS (
-  SELECT lang, source, rate, slack, CASE WHEN value < 32 THEN value ELSE value - value % (1::BIGINT << (length(bin(value)) - 5)::BIGINT) END AS bucket, count(*) AS n
+  SELECT lang, source, rate, slack, pct, CASE WHEN value < 32 THEN value ELSE value - value % (1::BIGINT << (length(bin(value)) - 5)::BIGINT) END AS bucket, count(*) AS n
   FROM x WHERE NOT base_failed GROUP BY ALL
 ), s AS (
-  SELECT 0 AS level, lang, source, rate, slack, bucket, n FROM c
-  UNION ALL SELECT 1, lang, NULL, rate, slack, bucket, sum(n) FROM c GROUP BY ALL
-  UNION ALL SELECT 2, NULL, NULL, rate, slack, bucket, sum(n) FROM c GROUP BY ALL
+  SELECT 0 AS level, lang, source, rate, slack, pct, bucket, n FROM c
+  UNION ALL SELECT 1, lang, NULL, rate, slack, pct, bucket, sum(n) FROM c GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, rate, slack, pct, bucket, sum(n) FROM c GROUP BY ALL
 ), t AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rate) AS total FROM s
 ), q AS (
-  SELECT level, lang, source, rate, slack, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 2) AS q2, min(bucket) FILTER (upto * 4 >= total * 3) AS q3
+  SELECT level, lang, source, rate, slack, min(bucket) FILTER (upto * 100 >= total * 25) AS lower_q, min(bucket) FILTER (upto * 100 >= total * 50) AS median_q, min(bucket) FILTER (upto * 100 >= total * pct) AS upper_q
   FROM t GROUP BY ALL HAVING max(total) >= 100 OR level = 2
 ), b AS (
-  SELECT level, lang, source, rate, q1 - 3 * (q2 - q1) - slack AS low, q3 + 3 * (q3 - q2) + slack AS high FROM q
+  SELECT level, lang, source, rate, lower_q - 3 * (median_q - lower_q) - slack AS low, upper_q + 3 * (upper_q - median_q) + slack AS high FROM q
 ), o AS (
   SELECT x.doc_id, bool_or(x.value < coalesce(b0.low, b1.low, b2.low) OR x.value > coalesce(b0.high, b1.high, b2.high)) AS failed
   FROM x

@@ -287,6 +287,21 @@ def test_limits_follow_language_and_source(spark):
     assert quality_rules.judged(df.limit(0)).collect() == []
 
 
+def test_limits_of_rates_that_are_mostly_zero(spark):
+    """A quarter of repeated lines is an outlier where no text repeats lines, and none where every tenth one does."""
+    rng = random.Random(4)
+
+    def text(repeated):
+        lines = [" ".join(str(rng.randint(10**6, 10**7 - 1)) for _ in range(5)) for _ in range(20 - repeated)]
+        return "\n".join(lines + lines[:repeated])
+
+    rows = [(i, text(3 if i % 20 == 1 else 0), "xx", "verse" if i % 2 else "prose") for i in range(400)]
+    rows += [(400, text(5), "xx", "prose"), (401, text(5), "xx", "verse")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    bad = {r["doc_id"]: set(r["failed"]) for r in quality_rules.judged(df).where("size(failed) > 0").collect()}
+    assert bad == {400: {"dup_line_rate", "repeat_rate"}}
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
