@@ -7,10 +7,14 @@ texts, so that two engines' results can be compared value by value.
 
 from __future__ import annotations
 
-import uuid
+import re
+import shutil
+import zipfile
 from collections.abc import Callable
 from datetime import UTC, datetime
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -577,22 +581,52 @@ def lake_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jdbc_window", "SELECT o_orderkey AS order_id, o_custkey AS customer_id FROM orders WHERE o_orderdate > TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '2000-06-01'")
 def jdbc_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A window over JDBC, read by four tasks; all orders are first loaded into an embedded database, which lives in one process."""
-    conn, feed = _derby(spark, sf_dir)
+    """A window over JDBC, read by four tasks; all orders are first loaded into a database."""
+    conn, feed = _shop(spark, sf_dir)
     found = jdbc.read(spark, conn, feed, state.Window(1, "1996-01-01 00:00:00.0", "2000-06-01 00:00:00.0"))
-    return found.select(F.col("ORDER_ID").cast("long").alias("order_id"), F.col("CUSTOMER_ID").alias("customer_id"))
+    return found.select(F.col("ORDER_ID").alias("order_id"), F.col("CUSTOMER_ID").alias("customer_id"))
 
 
 @query("jdbc_newest", "SELECT strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S.%f') AS high FROM orders")
 def jdbc_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest watermark, asked of the database."""
-    return spark.createDataFrame([(jdbc.high(spark, *_derby(spark, sf_dir)),)], "high string")
-
-
-def _derby(spark: SparkSession, sf_dir: str) -> tuple[jdbc.Connection, spec.Feed]:
-    conn = jdbc.Connection(f"jdbc:derby:memory:shop{uuid.uuid4().hex};create=true", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
-    source = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int").alias("ORDER_ID"), F.col("o_custkey").alias("CUSTOMER_ID"), F.col("o_orderdate").cast("timestamp").alias("MODIFIED_AT"))
-    source.write.format("jdbc").options(url=conn.url, driver=conn.driver, dbtable="ORDERS", batchsize="10000", numPartitions="4").save()
+    return spark.createDataFrame([(jdbc.high(spark, *_shop(spark, sf_dir)),)], "high string")
+
+
+def _shop(spark: SparkSession, sf_dir: str) -> tuple[jdbc.Connection, spec.Feed]:
+    """All orders in a Derby database, packed into an archive that driver and executors read.
+
+    Derby lets one process at a time write a database, so the driver loads it, from files; any number may read an archive.
+    """
+    folder = scratch.folder(spark, "shop")
+    at = Path(re.sub("^file:/+", "/", folder))
+    if re.match(r"\w+:", str(at)):
+        raise RuntimeError(f"Derby reads files only: {folder}")
+    source = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp"))
+    zone = spark._jvm.java.util.TimeZone.getDefault().getID()  # in which JDBC reads a timestamp
+    source.write.options(timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS", timeZone=zone).csv(f"{folder}/orders")
+    with (at / "orders.csv").open("wb") as out:  # one file into an empty table: nothing is logged
+        for part in sorted(at.glob("orders/part-*")):
+            with part.open("rb") as rows:
+                shutil.copyfileobj(rows, out)
+    shutil.rmtree(at / "orders")
+    driver, properties = spark._jvm.org.apache.derby.iapi.jdbc.AutoloadedDriver(), spark._jvm.java.util.Properties()
+    loading = driver.connect(f"jdbc:derby:directory:{at}/shop;create=true", properties)
+    loading.createStatement().execute("CREATE TABLE ORDERS (ORDER_ID BIGINT, CUSTOMER_ID BIGINT, MODIFIED_AT TIMESTAMP)")
+    loading.createStatement().execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, 'ORDERS', '{at}/orders.csv', NULL, NULL, 'UTF-8', 0)")
+    loading.close()
+    (at / "orders.csv").unlink()
+    try:
+        driver.connect(f"jdbc:derby:directory:{at}/shop;shutdown=true", properties)
+    except Py4JJavaError as said:
+        if said.java_exception.getSQLState() != "08006":  # so Derby says that it is done
+            raise
+    with zipfile.ZipFile(at / "shop.jar", "w") as jar:  # stored, for pages to be found by their place
+        for path in sorted((at / "shop").rglob("*")):
+            if path.suffix != ".lck":
+                jar.write(path, path.relative_to(at))
+    shutil.rmtree(at / "shop")
+    conn = jdbc.Connection(f"jdbc:derby:jar:({at}/shop.jar)shop", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     return conn, spec.Feed("orders", "ORDERS", ("ORDER_ID",), "MODIFIED_AT", policy=spec.Policy(read_partitions=4))
 
 

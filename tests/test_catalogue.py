@@ -1,6 +1,8 @@
 """Every query against its SQL in DuckDB, at the smallest size."""
 
 import os
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -56,3 +58,22 @@ def test_command_line(capsys, tmp_path):
     with pytest.raises(SystemExit) as fault:
         main(["run"])
     assert fault.value.code == 2
+
+
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+conf = {"spark.executor.memory": "512m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": f"file://{sys.argv[3]}"}
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map=conf).getOrCreate()
+entry.queries()[sys.argv[1]](spark, sys.argv[2]).write.parquet(f"file://{sys.argv[3]}/out")
+"""
+
+
+@pytest.mark.parametrize("name", ["jdbc_newest"])
+def test_executors_apart_from_the_driver(duck, tmp_path, name):
+    env = os.environ | {"SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13"}
+    subprocess.run([sys.executable, "-c", CLUSTER, name, str(DATA), str(tmp_path)], check=True, timeout=300, env=env, cwd=tmp_path, capture_output=True)
+    expected = duck.sql(catalogue.ORACLE_SQL[name])
+    got = duck.sql(f"SELECT {', '.join(expected.columns)} FROM '{tmp_path}/out/*.parquet'")
+    assert sorted(got.fetchall()) == sorted(expected.fetchall())
