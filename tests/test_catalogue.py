@@ -70,7 +70,7 @@ entry.queries()[sys.argv[1]](spark, sys.argv[2]).write.parquet(f"file://{sys.arg
 """
 
 
-@pytest.mark.parametrize("name", ["jdbc_newest"])
+@pytest.mark.parametrize("name", ["jdbc_newest", "jdbc_window"])
 def test_executors_apart_from_the_driver(duck, tmp_path, name):
     env = os.environ | {"SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13"}
     subprocess.run([sys.executable, "-c", CLUSTER, name, str(DATA), str(tmp_path)], check=True, timeout=300, env=env, cwd=tmp_path, capture_output=True)
