@@ -28,7 +28,7 @@ from sluice.llm import (
     simhash,
 )
 from sluice.llm.components import components
-from sluice.llm.compression_classifier import CompressionClassifier
+from sluice.llm.compression_classifier import CompressionClassifier, _logistic
 from sluice.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, part long"
@@ -781,6 +781,16 @@ def test_classifier(spark):
     assert model.score(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("seed", [10, 68, 77])
+def test_calibration_of_classes_that_hardly_overlap(seed):
+    """Whole Newton steps run away to weights of ten million, which give half of the rows the other class."""
+    rng = np.random.default_rng(seed)
+    y = np.arange(20) % 2
+    d, r, size = rng.normal(0, 0.05, 20) + 0.1 * y, rng.uniform(0.1, 0.7, 20), rng.uniform(0.4, 1.1, 20)
+    x = np.stack([np.ones(20), d, r, size, d * d, r * r, d * r, size * d, size * r], 1)
+    assert ((x @ _logistic(x, y, 1e-6) > 0) == (y == 1)).all()
+
+
 # ---------------------------------------------------------------- words
 
 
