@@ -691,6 +691,24 @@ def test_language_model_beats_single_subwords(spark):
         assert sum(got[i] for i in held) > 0.95 * sum(single[i] for i in held)
 
 
+@pytest.mark.parametrize("settings", [{}, {"small": 0}, {"small": 0, "task_subwords": 2000}])
+def test_language_model_learns_from_every_document(spark, monkeypatch, settings):
+    """Training moves the embedding of every subword that occurs in a training document."""
+    held, trained = [], lm_scoring.trained
+
+    def kept(texts, counts, path, **settings):
+        held.append((counts, attention_lm.AttentionModel.new(counts, lm_scoring.neighbours(texts, path)), trained(texts, counts, path, **settings)))
+        return held[0][2]
+
+    monkeypatch.setattr(lm_scoring, "trained", kept)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(3000)]
+    lm_scoring.scored(documents(spark, texts), F.col("doc_id") % 5 != 0, tokenizer_path(), **settings)
+    counts, before, after = held[0]
+    moved = (before.weights["E"] != after.weights["E"]).any(axis=1)
+    assert (counts > 0).sum() > 1000 and (moved == (counts > 0)).all()
+
+
 def pairs_of(sample):
     pairs, n = np.unique(np.stack([sample[:-1], sample[1:]]), axis=1, return_counts=True)
     return np.concatenate([pairs, n[None]]).T
