@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
+def _linked(path: Path, text: str) -> bool:
+    """Hadoop's local rename looks whether the name is taken and then replaces; a hard link is made in one step, or not at all."""
+    draft = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+    draft.write_bytes(text.encode())
+    try:
+        os.link(draft, path)
+    except FileExistsError:
+        return False
+    finally:
+        draft.unlink()
+    return True
+
+
 class Files:
     def __init__(self, spark: SparkSession):
         self.jvm = spark.sparkContext._jvm
@@ -41,6 +58,9 @@ class Files:
         """Write a file whole or not at all; False if there is one by that name already."""
         fs, p = self._at(path)
         fs.mkdirs(p.getParent())
+        at = fs.makeQualified(p).toUri()
+        if at.getScheme() == "file":
+            return _linked(Path(at.getPath()), text)
         draft = self.jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.{self.jvm.java.util.UUID.randomUUID()}")
         stream = fs.create(draft, True)
         try:

@@ -146,3 +146,21 @@ def test_a_late_writer_publishes_what_it_has_stored(spark, tmp_path, monkeypatch
     assert t.append(spark.range(7, 8).select(F.col("id").cast("int")))
     assert len(stored) == 2 and t.version == 2 and sorted(r["id"] for r in t.read().collect()) == [0, 5, 7]
     assert len(t.files.names(f"{t.path}/data")) == 3
+
+
+def test_one_of_many_publishes(spark, tmp_path):
+    files = Files(spark)
+    for k in range(20):
+        path, won, ready = str(tmp_path / f"log/{k}.json"), [], threading.Barrier(4)
+
+        def publish(i, path=path, won=won, ready=ready):
+            ready.wait()
+            if files.publish(path, str(i)):
+                won.append(str(i))
+
+        threads = [threading.Thread(target=publish, args=(i,)) for i in range(4)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert [files.read(path)] == won
