@@ -764,6 +764,41 @@ def test_attention_gradient_and_windows():
     assert np.allclose(mean.weights["U"], again.weights["U"] / 4 + model.weights["U"] * 3 / 4, atol=1e-5)
 
 
+@pytest.mark.parametrize(("name", "scale"), [("A", -30), ("A", 30), ("U", 300), ("W", 300)])
+def test_attention_with_far_exponents(name, scale):
+    """Exponents whose powers overflow, or all vanish, give the probabilities that exact numbers give, and weights that are numbers."""
+    rng = np.random.default_rng(1)
+    sample = rng.integers(0, 30, 400)
+    model = attention_lm.AttentionModel.new(np.bincount(sample, minlength=34), pairs_of(sample), n_groups=4, n_leaves=6)
+    model.weights["E"] *= 2
+    if name == "A":
+        model.weights["A"] = np.eye(attention_lm.WIDTH, dtype=np.float32) * scale
+    else:
+        model.weights[name] *= scale
+    model.checked()
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+
+    def logs(x):
+        return x - x.max() - np.log(np.exp(x - x.max()).sum())
+
+    def log_probability(before, following):
+        x = w["E"][before] + w["P"][: len(before)]
+        a = logs(x[-1] @ w["A"] @ x.T)
+        hidden = np.append(x[-1] + np.exp(a) @ x @ w["R"], 1)
+        first, second = logs(hidden @ w["U"]), logs(hidden @ w["W"][model.groups[following]])
+        return first[model.groups[following]] + second[model.leaves[following]] + model.within[following]
+
+    ids, at = sample[:60], np.array([0, 20, 60 - attention_lm.WINDOW + 4, 60])
+    expected = [sum(log_probability(ids[a:j], ids[j]) for j in range(a + 1, b)) for a, b in itertools.pairwise(at.tolist())]
+    assert not model.near and np.allclose(model.log_probabilities(ids, at), expected, rtol=1e-3)
+    counted = np.ones((1, 19), bool)
+    loss, grad = model.step(ids[None, :19], ids[None, 1:20], counted)
+    assert math.isclose(loss, -(expected[0] - model.within[ids[1:20]].sum()) / 19, rel_tol=1e-3)
+    assert all(np.isfinite(g).all() for g in grad.values())
+    model.fit(sample, np.array([0, 400]))
+    assert all(np.isfinite(v).all() for v in model.weights.values())
+
+
 # ---------------------------------------------------------------- classifier
 
 
