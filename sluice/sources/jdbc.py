@@ -75,5 +75,5 @@ def read(spark: SparkSession, conn: Connection, feed: Feed, window: Window, fetc
         key = text.name(feed.key[0], conn.dialect)
         low, top = _reader(spark, conn, 1).option("dbtable", f"(SELECT MIN({key}) AS a, MAX({key}) AS b FROM {table} WHERE {where}) src").load().first()
         if isinstance(low, int) and isinstance(top, int) and top > low:
-            reader = reader.options(partitionColumn=feed.key[0], lowerBound=str(low), upperBound=str(top + 1), numPartitions=str(feed.policy.read_partitions))
+            reader = reader.options(partitionColumn=feed.key[0], lowerBound=str(low), upperBound=str(top), numPartitions=str(feed.policy.read_partitions))
     return reader.load()

@@ -60,6 +60,17 @@ def test_command_line(capsys, tmp_path):
     assert fault.value.code == 2
 
 
+def test_jdbc_window_of_any_keys(spark, tmp_path):
+    """Keys at both ends of their type, without a value and repeated."""
+    name = "jdbc_window"
+    rows = "(-9223372036854775808, 1), (-1, 2), (9223372036854775806, 3), (9223372036854775807, NULL), (NULL, 5), (7, 6), (7, 6)"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT k AS o_orderkey, c AS o_custkey, TIMESTAMP '1997-03-01 12:00:00' AS o_orderdate FROM (VALUES {rows}) t(k, c)")
+    con.execute(f"COPY orders TO '{tmp_path}/orders.parquet'")
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).select("order_id", "customer_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(catalogue.ORACLE_SQL[name]).fetchall(), key=str)
+
+
 CLUSTER = """
 import sys
 from pyspark.sql import SparkSession
