@@ -799,6 +799,44 @@ def test_attention_with_far_exponents(name, scale):
     assert all(np.isfinite(v).all() for v in model.weights.values())
 
 
+def test_attention_is_computed_where_it_is_needed(monkeypatch):
+    """Nothing is asked for the places that an overlap repeats, in training and in scoring, and the gradient is right nevertheless."""
+    rng = np.random.default_rng(2)
+    sample = rng.integers(0, 30, 900)
+    model = attention_lm.AttentionModel.new(np.bincount(sample, minlength=34), pairs_of(sample), n_groups=4, n_leaves=6)
+    attend, asked = attention_lm.AttentionModel._attend, []
+
+    def counting(self, *args):
+        found = attend(self, *args)
+        asked.append(found[0].shape[0] * found[0].shape[1])
+        return found
+
+    monkeypatch.setattr(attention_lm.AttentionModel, "_attend", counting)
+    length, stride = attention_lm.WINDOW, attention_lm.WINDOW - attention_lm.OVERLAP
+    at = np.array([0, length + 5 * stride + 1, 2 * (length + 5 * stride + 1)])  # texts that fill their windows
+    for work in (model.fit, model.log_probabilities):
+        asked.clear()
+        work(sample, at)
+        assert sum(asked) == at[-1] - 2, work.__name__
+    model.weights = {k: v.astype(float) for k, v in model.weights.items()}
+    batch, following = rng.integers(0, 30, (5, length)), rng.integers(0, 30, (5, length))
+    counted = np.ones((5, length), bool)
+    counted[[0, 2, 3], : attention_lm.OVERLAP] = False
+    counted[3, -4:] = False
+    _, grad = model.step(batch, following, counted)
+    for name in attention_lm.NAMES:
+        w = model.weights[name]
+        for window, place in ((0, 2), (1, 2), (3, 20)):
+            at_ = (batch[window, place], 5) if name == "E" else (model.groups[following[window, place + 8]], 3, 2) if name == "W" else (place, 2) if name == "P" else (3, 2)
+            w[at_] += 1e-5
+            up, _ = model.step(batch, following, counted)
+            w[at_] -= 2e-5
+            down, _ = model.step(batch, following, counted)
+            w[at_] += 1e-5
+            value = grad["E"][batch == at_[0]][:, 5].sum() if name == "E" else grad[name][at_]
+            assert math.isclose((up - down) / 2e-5, value, rel_tol=1e-3, abs_tol=1e-7), name
+
+
 # ---------------------------------------------------------------- classifier
 
 
